@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidewright.llm.common import table
 
@@ -22,6 +21,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.license_scan import license_digest
+
+    return license_digest(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.line_dedup import line_digest
+
+    return line_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidewright.llm.bpe import bpe_digest
+
+    return bpe_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.toxicity import toxicity_digest
+
+    return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.decontaminate import contamination_digest
 
@@ -37,15 +62,21 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_digest(table(spark, sf_dir, "pages"), f"{folder}/warc-{uuid.uuid4().hex}", compression="gzip")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.llm.langid import language_digest
+
+    return language_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.pii import pii_digest
 
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op7_decontaminate, op8_warc, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_license_scan, op4_line_dedup, op5_bpe, op6_toxicity, op7_decontaminate, op8_warc, op9_language, op10_pii)}
 
-_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
 ORACLE = {
     "op1_exact_dedup": """
