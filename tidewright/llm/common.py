@@ -34,15 +34,19 @@ def words(c: Column) -> Column:
     return F.filter(F.split(lower_ascii(c), NOT_WORD), lambda w: w != F.lit(""))
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder that all of the cluster shares: ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")).rstrip("/")
+
+
 def shared(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the cluster shares.
 
-    ``spark.checkpoint.dir`` names the folder. Only where it is unset, as in
-    tests, a temporary one is made.
+    Spark takes it from ``spark.checkpoint.dir``; see :func:`scratch`.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(scratch(spark))
     return df.checkpoint(eager=True)
 
 

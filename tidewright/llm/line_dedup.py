@@ -62,9 +62,12 @@ def removed_runs(sizes: list[tuple[int, int]], repeated: set[int], min_words: in
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, divisor: int = 2, window: int = 2, long_words: int = 50, report: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, divisor: int = 2, window: int = 2, long_words: int = 50, report: bool = False, count_col: str | None = None) -> DataFrame:
     """``docs`` with repeated multi-line chunks cut from ``text_col``; with ``report``, also ``n_lines, n_chunks, n_removed, removed_words``.
 
+    ``count_col``, if given, names a column that gets the length of the new
+    text where it changed.
+
     Of equal chunks all over the table, the occurrence of smallest (id, place)
     stays; the others go where they, with the repeated chunks next to them,
     make ``min_words`` words or more, which short stock lines alone don't.
@@ -138,6 +141,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = T.StructType([*joined.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in extra)])
     made = joined.mapInArrow(rebuild, schema).withColumnRenamed("_t", text_col)
+    if count_col is not None:
+        made = made.withColumn(count_col, F.when(F.col(extra[2]) > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
     told = [F.col(c).alias(c[3:]) for c in extra] if report else []
     return made.select(*docs.columns, *told)
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.common import table
+from tidewright.llm.common import scratch, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,12 +54,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
     from tidewright.llm.warc import archive_digest
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="warc-")
-    return archive_digest(table(spark, sf_dir, "pages"), f"{folder}/warc-{uuid.uuid4().hex}", compression="gzip")
+    return archive_digest(table(spark, sf_dir, "pages"), f"{scratch(spark)}/warc-{uuid.uuid4().hex}", compression="gzip")
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

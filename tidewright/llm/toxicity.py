@@ -17,6 +17,8 @@ from tidewright.llm.common import WORDS, text_or_empty
 from tidewright.llm.langid import held_out
 
 CHAIN = 128
+#: Lengths of stems in bytes.
+STEMS = (4, 5)
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 
 
@@ -28,22 +30,25 @@ def tokens(text: str) -> list[bytes]:
 class Model:
     """Weights of two states, plain and toxic; plain ones are zero.
 
-    ``vocab`` numbers the words from 1; 0 is any other word and 0 weights.
-    ``word``, ``before`` and ``after`` weigh a token's own, previous and next
-    word; ``move[i, j]`` weighs the step from state i to j.
+    ``vocab`` numbers the words from 1, ``stems`` their first bytes; 0 is any
+    other and weighs nothing. ``word`` and ``stem`` weigh a token's own word
+    and stems, ``before`` and ``after`` the previous and next word, and
+    ``move[i, j]`` the step from state i to j.
     """
 
     vocab: dict[bytes, int]
+    stems: dict[bytes, int]
     word: np.ndarray
+    stem: np.ndarray
     before: np.ndarray
     after: np.ndarray
     bias: float
     move: np.ndarray
     doc: np.ndarray  # bias, log of the expected toxic tokens, largest marginal, expected tokens in a hundred
 
-    def emissions(self, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def emissions(self, ids: np.ndarray, stems: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """For a flat run of texts; ``first`` and ``last`` mark their ends."""
-        out = self.word[ids] + self.bias
+        out = self.word[ids] + self.stem[stems].sum(0) + self.bias
         out[1:] += np.where(first[1:], 0, self.before[ids[:-1]])
         out[:-1] += np.where(last[:-1], 0, self.after[ids[1:]])
         return out
@@ -96,22 +101,46 @@ def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, used, owner
 
 
-def flat(texts: list[list[bytes]], vocab: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    get = vocab.get
+class Numbers(dict):
+    """word -> its number and those of its stems, packed in one integer; remembers up to a million words."""
+
+    def __init__(self, vocab: dict[bytes, int], stems: dict[bytes, int], remember: int = 1_000_000):
+        super().__init__()
+        self.vocab, self.stems, self.remember = vocab, stems, remember
+
+    def __missing__(self, word: bytes) -> int:
+        out = self.vocab.get(word, 0)
+        for k, n in enumerate(STEMS, 1):
+            out |= (self.stems.get(word[:n], 0) if len(word) > n else 0) << (21 * k)
+        if len(self) >= self.remember:
+            self.clear()
+        self[word] = out
+        return out
+
+
+def flat(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' tokens in one run: words, stems (a row for each length), text sizes, first and last tokens."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    ids = np.array([get(w, 0) for t in texts for w in t], np.int32)
+    packed = np.fromiter((x for t in texts for x in map(numbers.__getitem__, t)), np.int64, int(sizes.sum()))
+    part = (1 << 21) - 1
+    ids, stems = packed & part, np.stack([packed >> (21 * k) & part for k in range(1, len(STEMS) + 1)])
     first, last = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
     ends = np.cumsum(sizes)
     first[(ends - sizes)[sizes > 0]] = True
     last[ends[sizes > 0] - 1] = True
-    return ids, sizes, first, last
+    return ids, stems, sizes, first, last
+
+
+def units(word: bytes) -> list[bytes]:
+    """The word and its stems, which end in an asterisk."""
+    return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
 
 
 def token_labels(texts: list[list[bytes]], toxic: np.ndarray, least_share: float = 0.02, least_odds: float = 3.0) -> set[bytes]:
-    """Words whose tokens count as toxic in toxic texts: in that share of them at least, with those log-odds against the others."""
+    """Words and stems whose tokens count as toxic in toxic texts: in that share of them at least, with those log-odds against the others."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for t, y in zip(texts, toxic.tolist()):
-        seen[y].update(set(t))
+        seen[y].update({u for w in set(t) for u in units(w)})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
     odds = lambda w: log((seen[1][w] + 0.5) / (n1 + 1)) - log((seen[0][w] + 0.5) / (n0 + 1))
     return {w for w, c in seen[1].items() if c >= max(2, least_share * n1) and odds(w) >= least_odds}
@@ -129,17 +158,21 @@ def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(sizes)), np.log1p(expected), most, 100 * expected / (sizes + 20)], 1)
 
 
-def train(texts: list[str], toxic: np.ndarray, steps: int = 40, rate: float = 0.3, decay: float = 1e-4, least_df: int = 3) -> Model:
+def train(texts: list[str], toxic: np.ndarray, steps: int = 30, rate: float = 0.3, decay: float = 1e-4, least_df: int = 3) -> Model:
     """Fits the field to token labels by Adam on its log-likelihood, then the document layer by Newton's method."""
     ws = [tokens(t) for t in texts]
     bad = token_labels(ws, toxic)
     df = Counter(w for t in ws for w in set(t))
+    stem_df = Counter(u for t in ws for u in {w[:n] for w in set(t) for n in STEMS if len(w) > n})
     vocab = {w: i for i, w in enumerate(sorted(w for w, c in df.items() if c >= least_df), 1)}
-    ids, sizes, first, last = flat(ws, vocab)
-    y = np.array([w in bad and t == 1 for x, t in zip(ws, toxic.tolist()) for w in x], float)
-    v = len(vocab) + 1
-    m = Model(vocab, np.zeros(v), np.zeros(v), np.zeros(v), -3.0, np.zeros((2, 2)), np.zeros(4))
-    if not len(ids):
+    stems = {w: i for i, w in enumerate(sorted(w for w, c in stem_df.items() if c >= least_df), 1)}
+    ids, sids, sizes, first, last = flat(ws, Numbers(vocab, stems))
+    marked = {w for w in df if not bad.isdisjoint(units(w))}
+    y = np.array([w in marked and t == 1 for x, t in zip(ws, toxic.tolist()) for w in x], float)
+    v, v2 = len(vocab) + 1, len(stems) + 1
+    m = Model(vocab, stems, np.zeros(v), np.zeros(v2), np.zeros(v), np.zeros(v), -3.0, np.zeros((2, 2)), np.zeros(4))
+    if not len(ids) or not y.any():
+        m.doc[0] = log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5)) if len(toxic) else -1.0
         return m
     place, used, _ = chains(sizes)
     seen_moves = np.zeros((2, 2))
@@ -149,35 +182,35 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 40, rate: float = 0.
     for i in (0, 1):
         for j in (0, 1):
             seen_moves[i, j] = ((a == i) & (b == j)).sum()
-    weights = [m.word, m.before, m.after, np.array([m.bias]), m.move]
+    weights = [m.word, m.before, m.after, m.stem, np.array([m.bias]), m.move]
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     count = max(1.0, y.sum())
     for step in range(1, steps + 1):
-        m.bias = float(weights[3][0])
+        m.bias = float(weights[4][0])
         e = np.zeros((len(used), CHAIN))
-        e.reshape(-1)[place] = m.emissions(ids, first, last)
+        e.reshape(-1)[place] = m.emissions(ids, sids, first, last)
         p, moves, _ = marginals(e, used, m.move)
         diff = p.reshape(-1)[place] - y
         shift = lambda at, skip: np.bincount(ids[at], diff[skip], v)
-        g = [np.bincount(ids, diff, v), shift(np.nonzero(~first)[0] - 1, ~first), shift(np.nonzero(~last)[0] + 1, ~last), np.array([diff.sum()]), moves - seen_moves]
+        g = [np.bincount(ids, diff, v), shift(np.nonzero(~first)[0] - 1, ~first), shift(np.nonzero(~last)[0] + 1, ~last), sum(np.bincount(x, diff, v2) for x in sids), np.array([diff.sum()]), moves - seen_moves]
         for k, (w, gr) in enumerate(zip(weights, g)):
             gr = gr / count + decay * w
-            if k < 3:
+            if k < 4:
                 gr[0] = 0
             s1, s2 = state[k]
             s1 += 0.1 * (gr - s1)
             s2 += 0.01 * (gr * gr - s2)
             w -= rate * (s1 / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-4)
-    m.bias = float(weights[3][0])
-    x = document_features(flat_marginals(m, ids, sizes, first, last), sizes)
+    m.bias = float(weights[4][0])
+    x = document_features(flat_marginals(m, ids, sids, sizes, first, last), sizes)
     m.doc = logistic(x, toxic.astype(float))
     return m
 
 
-def flat_marginals(m: Model, ids, sizes, first, last) -> np.ndarray:
+def flat_marginals(m: Model, ids, sids, sizes, first, last) -> np.ndarray:
     place, used, _ = chains(sizes)
     e = np.zeros((len(used), CHAIN))
-    e.reshape(-1)[place] = m.emissions(ids, first, last)
+    e.reshape(-1)[place] = m.emissions(ids, sids, first, last)
     return marginals(e, used, m.move)[0].reshape(-1)[place] if len(ids) else np.zeros(0)
 
 
@@ -201,14 +234,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     return docs.where(F.col(text_col).isNotNull()).join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select("_id", F.col(text_col).alias("t"), "_y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of at most ``max_rows`` labelled rows, half of either class."""
     rows = sorted((r["_id"], r["t"], r["_y"]) for r in training_rows(docs, labels, max_rows, id_col, text_col, label_col).collect())
     return train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False) -> DataFrame:
-    """``docs`` with ``score``, ``predicted`` and, if asked for, ``spans``: ranges of toxic code points (marginal of 0.5 or more).
+def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, names: tuple[str, str, str] = ("score", "predicted", "spans")) -> DataFrame:
+    """``docs`` with ``score``, ``predicted`` and, if asked for, ``spans`` (or other ``names``): ranges of toxic code points (marginal of 0.5 or more).
 
     The marginals of all tokens of the whole text, from chains of 128, add up
     to the expected number of toxic tokens; that, its share and the largest
@@ -216,14 +249,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     too. Rows stay as they are; columns of these names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    new = ["score", "predicted", *(["spans"] if spans else [])]
+    new = [*names[: 3 if spans else 2]]
     rest = [c for c in docs.columns if c not in new]
     rows = docs.select(*rest, text_or_empty(text_col).alias("__text"))
 
-    def some(texts: list[str]) -> tuple[list, ...]:
-        m = held.value
-        ids, sizes, first, last = flat([tokens(t) for t in texts], m.vocab)
-        p = flat_marginals(m, ids, sizes, first, last)
+    def some(texts: list[str], m: Model, numbers: Numbers) -> tuple[list, ...]:
+        ids, sids, sizes, first, last = flat([tokens(t) for t in texts], numbers)
+        p = flat_marginals(m, ids, sids, sizes, first, last)
         s = 1 / (1 + np.exp(-np.clip(document_features(p, sizes) @ m.doc, -30, 30)))
         out = [s.tolist(), (s >= 0.5).astype(int).tolist()]
         if spans:
@@ -233,6 +265,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.float64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        m = held.value
+        numbers = Numbers(m.vocab, m.stems)
         for b in batches:
             made: tuple[list, ...] = tuple([] for _ in new)
             texts, size = [], 0
@@ -241,15 +275,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
                 texts.append(t.as_py())
                 size += len(texts[-1])
                 if size > 1 << 22 or i == len(column) - 1:
-                    for c, x in zip(made, some(texts)):
+                    for c, x in zip(made, some(texts, m, numbers)):
                         c.extend(x)
                     texts, size = [], 0
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(made, kinds))], names=[*rest, *new])
 
     from pyspark.sql import types as T
 
-    kinds = {"score": "double", "predicted": "int", "spans": "array<struct<start:int,end:int>>"}
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T._parse_datatype_string(kinds[c])) for c in new)]))
+    kinds = ("double", "int", "array<struct<start:int,end:int>>")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(new, kinds))]))
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
@@ -275,7 +309,7 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs.select("doc_id", "text", out_of_training().alias("held_out")), model).select("doc_id", "held_out", "score", "predicted")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows of a score at or over the threshold; the model learns from ``labels``."""
-    model = fit(docs, labels)
-    return score(docs.withColumnRenamed("score", "__score") if "score" in docs.columns else docs, model).where(F.col("score") < threshold).select(*docs.columns)
+def drop_toxic(docs: DataFrame, labelled: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``docs`` without the rows of a score at or over the threshold; the model learns from the texts of ``labelled`` that ``labels`` marks."""
+    model = fit(labelled, labels)
+    return score(docs, model, names=("__score", "__predicted", "__spans")).where(F.col("__score") < threshold).select(*docs.columns)
