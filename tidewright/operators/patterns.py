@@ -272,9 +272,9 @@ def machine_matches(events: Events, p: A.Pattern, source: Callable[[], Machine],
     df = df.select(*keys, TS, SEQ, "_from", *streams).where(F.col("_from").isin(streams))
     schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(label, T.ArrayType(k)) for label, (_, k) in kinds.items()), T.StructField(TS, T.LongType()), T.StructField(SEQ, T.LongType())])
 
-    def run(key: tuple, pdf):
-        import pandas as pd
+    import pandas as pd
 
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         m, rows = source(), []
         for e in pdf.sort_values(SEQ).to_dict("records"):
             for got in m.feed(e["_from"], _plain(e[e["_from"]]), int(e[TS]), int(e[SEQ])):

@@ -82,9 +82,9 @@ for f, sql in (("sum(value)", "sum(value)"), ("avg(value)", "avg(value)"), ("min
         oracle = f"SELECT a.event_id, count(DISTINCT b.event_type) AS r FROM {E} a JOIN {E} b ON b.user_id = a.user_id AND b.seq BETWEEN a.seq - 49 AND a.seq GROUP BY a.event_id"
     else:
         over = "OVER (PARTITION BY user_id ORDER BY seq RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)"
-        oracle = f"SELECT event_id, {f'round({sql} {over}, 6)' if rounded else f'{sql} {over}'} AS r FROM {E}"
-    app(f"w_length_{n}", f"INSERT INTO o SELECT event_id, {f'round({f}, 6)' if rounded else f} AS r FROM events WINDOW('length', 50) GROUP BY user_id", oracle)
-app("w_length_ungrouped", "INSERT INTO o SELECT event_id, count(*) AS n, round(avg(value), 6) AS a, min(value) AS m FROM events WINDOW('length', 200)", f"SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 6) AS a, min(value) OVER w AS m FROM {E} WINDOW w AS (ORDER BY seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)")
+        oracle = f"SELECT event_id, {f'round({sql} {over}, 9)' if rounded else f'{sql} {over}'} AS r FROM {E}"
+    app(f"w_length_{n}", f"INSERT INTO o SELECT event_id, {f'round({f}, 9)' if rounded else f} AS r FROM events WINDOW('length', 50) GROUP BY user_id", oracle)
+app("w_length_ungrouped", "INSERT INTO o SELECT event_id, count(*) AS n, round(avg(value), 9) AS a, min(value) AS m FROM events WINDOW('length', 200)", f"SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 9) AS a, min(value) OVER w AS m FROM {E} WINDOW w AS (ORDER BY seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)")
 app("w_length_where_after", "INSERT INTO o SELECT event_id, count(*) AS n, round(sum(value), 6) AS s FROM events WHERE event_type = 'click' WINDOW('length', 100)", f"SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS s FROM {E} WHERE event_type = 'click' WINDOW w AS (ORDER BY seq RANGE BETWEEN 99 PRECEDING AND CURRENT ROW)", where="after_window")
 app("w_length_where_before", "INSERT INTO o SELECT event_id, count(*) AS n, round(sum(value), 6) AS s FROM events WHERE event_type = 'click' WINDOW('length', 100)", f"SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS s FROM {E} WHERE event_type = 'click' WINDOW w AS (ORDER BY seq ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)")
 app("w_length_expired", "INSERT INTO o SELECT event_id, value FROM events WINDOW('length', 500)", f"SELECT event_id, value FROM {E} WHERE seq + 500 <= (SELECT max(seq) FROM {E})", output_events="expired")
@@ -94,7 +94,7 @@ app("w_length_batch_plain", "INSERT INTO o SELECT event_id, value FROM events WI
 app("w_time", "INSERT INTO o SELECT event_id, count(*) AS n, round(sum(value), 6) AS s FROM events WINDOW('time', 2 HOURS) GROUP BY event_type", f"SELECT event_id, count(*) OVER w AS n, round(sum(value) OVER w, 6) AS s FROM {E} WINDOW w AS (PARTITION BY event_type ORDER BY t RANGE BETWEEN {2 * HOUR - 1} PRECEDING AND CURRENT ROW)")
 app("w_time_ungrouped", "INSERT INTO o SELECT event_id, count(*) AS n, max(value) AS m FROM events WINDOW('time', 30 MINUTES)", f"SELECT event_id, count(*) OVER w AS n, max(value) OVER w AS m FROM {E} WINDOW w AS (ORDER BY t RANGE BETWEEN {HOUR // 2 - 1} PRECEDING AND CURRENT ROW)")
 app("w_external_time", "INSERT INTO o SELECT event_id, count(*) AS n FROM events WINDOW('externalTime', event_id, 1000)", f"SELECT event_id, count(*) OVER (ORDER BY event_id RANGE BETWEEN 999 PRECEDING AND CURRENT ROW) AS n FROM {E}")
-app("w_time_batch", "INSERT INTO o SELECT count(*) AS n, round(avg(value), 6) AS a FROM events WINDOW('timeBatch', 6 HOURS)", f"WITH e AS (SELECT *, (t - min(t) OVER ()) // {6 * HOUR} AS b FROM {E}) SELECT count(*) AS n, round(avg(value), 6) AS a FROM e WHERE b < (SELECT max(b) FROM e) GROUP BY b")
+app("w_time_batch", "INSERT INTO o SELECT count(*) AS n, round(avg(value), 9) AS a FROM events WINDOW('timeBatch', 6 HOURS)", f"WITH e AS (SELECT *, (t - min(t) OVER ()) // {6 * HOUR} AS b FROM {E}) SELECT count(*) AS n, round(avg(value), 9) AS a FROM e WHERE b < (SELECT max(b) FROM e) GROUP BY b")
 app("w_external_time_batch", "INSERT INTO o SELECT user_id, count(*) AS n FROM events WINDOW('externalTimeBatch', event_id, 2500) GROUP BY user_id", f"WITH e AS (SELECT *, (event_id - min(event_id) OVER ()) // 2500 AS b FROM {E}) SELECT user_id, count(*) AS n FROM e WHERE b < (SELECT max(b) FROM e) GROUP BY b, user_id")
 app("w_tumbling_epoch", "INSERT INTO o SELECT event_type, count(*) AS n FROM events WINDOW TUMBLING(1 DAY) GROUP BY event_type", f"SELECT event_type, count(*) AS n FROM {E} GROUP BY t // {DAY}, event_type", align="epoch")
 app("w_session", "INSERT INTO o SELECT user_id, count(*) AS n, min(event_id) AS lo, round(sum(value), 6) AS s FROM events WINDOW('session', 1 HOUR, user_id) GROUP BY user_id", f"WITH a AS (SELECT *, CASE WHEN t - lag(t) OVER w <= {HOUR} THEN 0 ELSE 1 END AS x FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY seq)), b AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY seq) AS b FROM a) SELECT user_id, count(*) AS n, min(event_id) AS lo, round(sum(value), 6) AS s FROM b GROUP BY user_id, b")
@@ -142,11 +142,11 @@ app("t_start", "CREATE TRIGGER tick AT START; INSERT INTO o SELECT triggered_tim
 app("t_cron", "CREATE TRIGGER tick AT CRON '0 30 12 * * *'; INSERT INTO o SELECT triggered_time FROM tick", f"SELECT triggered_time FROM (SELECT unnest(range(0, 40)) * {DAY} + (min(t) // {DAY}) * {DAY} + {HOUR * 25 // 2} AS triggered_time, min(t) AS a, max(t) AS b FROM {E}) WHERE triggered_time BETWEEN a AND b")
 for per, ms in (("hour", HOUR), ("day", DAY), ("month", 30 * DAY)):
 
-    @plain(f"a_rollup_{per}", f"SELECT t - t % {ms} AS AGG_TIMESTAMP, event_type, round(sum(value), 6) AS s, round(avg(value), 6) AS a, count(*) AS n, max(value) AS m FROM {E} GROUP BY ALL")
+    @plain(f"a_rollup_{per}", f"SELECT t - t % {ms} AS AGG_TIMESTAMP, event_type, round(sum(value), 6) AS s, round(avg(value), 9) AS a, count(*) AS n, max(value) AS m FROM {E} GROUP BY ALL")
     def rollup(spark: SparkSession, sf_dir: str, per: str = per) -> DataFrame:
         e = engine(spark, sf_dir)
         e.run("CREATE AGGREGATION agg AS SELECT event_type, sum(value) AS s, avg(value) AS a, count(*) AS n, max(value) AS m FROM events GROUP BY event_type AGGREGATE EVERY SECOND TO YEAR")
-        return e.query_aggregation("agg", per).withColumn("s", F.round("s", 6)).withColumn("a", F.round("a", 6))
+        return e.query_aggregation("agg", per).withColumn("s", F.round("s", 6)).withColumn("a", F.round("a", 9))
 
 
 @plain("a_rollup_within", f"SELECT t - t % {HOUR} AS AGG_TIMESTAMP, count(*) AS n FROM {E} WHERE t >= 1704844800000 AND t < 1705449600000 GROUP BY 1")
@@ -261,3 +261,97 @@ app("pt_or", "INSERT INTO o SELECT e1.event_id AS a, e2.event_id AS b FROM PATTE
 app("pt_logical_in_chain", "PARTITION WITH (user_id OF view, user_id OF click, user_id OF purchase) BEGIN INSERT INTO o SELECT e1.event_id AS a, e2.event_id AS b, e3.event_id AS c FROM PATTERN (EVERY(e1=view -> (e2=click AND e3=purchase))); END", f"WITH e AS (SELECT *, min(CASE WHEN event_type = 'click' THEN seq END) OVER w AS nc, min(CASE WHEN event_type = 'purchase' THEN seq END) OVER w AS np FROM {E} WINDOW w AS (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) SELECT a.event_id AS a, b.event_id AS b, c.event_id AS c FROM e a JOIN e b ON b.seq = a.nc JOIN e c ON c.seq = a.np WHERE a.event_type = 'view'", inputs=VCP)
 app("pt_absent_after", "PARTITION WITH (user_id OF signup, user_id OF purchase) BEGIN INSERT INTO o SELECT e1.event_id AS a FROM PATTERN (EVERY(e1=signup -> NOT purchase FOR 2 DAYS)); END", f"WITH m AS (SELECT * FROM {E} WHERE event_type IN ('signup', 'purchase')) SELECT event_id AS a FROM m WHERE event_type = 'signup' AND t + {2 * DAY} <= (SELECT max(t) FROM m) AND NOT EXISTS (SELECT 1 FROM m p WHERE p.event_type = 'purchase' AND p.user_id = m.user_id AND p.seq > m.seq AND p.t - m.t <= {2 * DAY})", inputs=("signup", "purchase"))
 app("pt_absent_before", "PARTITION WITH (user_id OF click, user_id OF purchase) BEGIN INSERT INTO o SELECT e2.event_id AS b FROM PATTERN (EVERY(NOT click FOR 1 DAY -> e2=purchase)); END", f"SELECT event_id AS b FROM {E} m WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM {E} p WHERE p.event_type = 'click' AND p.user_id = m.user_id AND p.seq < m.seq AND m.t - p.t <= {DAY})", inputs=("click", "purchase"))
+
+# Expressions and functions
+
+app("f_arithmetic", "INSERT INTO o SELECT o_orderkey, o_orderkey / 7 AS d, o_orderkey / (o_orderkey % 2) AS z, o_orderkey % 10 AS m, -o_custkey AS neg, o_custkey * 2 + 1 AS p, o_orderkey - o_custkey AS s FROM orders", "SELECT o_orderkey, o_orderkey / 7 AS d, CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_orderkey / (o_orderkey % 2) END AS z, o_orderkey % 10 AS m, -o_custkey AS neg, o_custkey * 2 + 1 AS p, o_orderkey - o_custkey AS s FROM orders", inputs=("orders",))
+app("f_predicates", "INSERT INTO o SELECT o_orderkey FROM orders WHERE (o_orderstatus IN ('F', 'P') OR NOT o_totalprice BETWEEN 1000 AND 200000) AND o_orderpriority NOT LIKE '%LOW' AND o_orderpriority LIKE '_-%' AND o_custkey NOT IN (1, 2, 3) AND o_orderstatus IS NOT NULL AND o_orderkey != 5", "SELECT o_orderkey FROM orders WHERE (o_orderstatus IN ('F', 'P') OR NOT o_totalprice BETWEEN 1000 AND 200000) AND o_orderpriority NOT LIKE '%LOW' AND o_orderpriority LIKE '_-%' AND o_custkey NOT IN (1, 2, 3) AND o_orderstatus IS NOT NULL AND o_orderkey <> 5", inputs=("orders",))
+app("f_null_two_valued", "INSERT INTO o SELECT o_orderkey FROM orders WHERE nullif(o_orderstatus, 'O') != 'F'", "SELECT o_orderkey FROM orders WHERE coalesce(nullif(o_orderstatus, 'O') <> 'F', true)", inputs=("orders",), null_mode="two_valued")
+app("f_case", "INSERT INTO o SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' END AS a, CASE WHEN o_totalprice > 100000 THEN 1 WHEN o_totalprice > 50000 THEN 2 ELSE 3 END AS b FROM orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' END AS a, CASE WHEN o_totalprice > 100000 THEN 1 WHEN o_totalprice > 50000 THEN 2 ELSE 3 END AS b FROM orders", inputs=("orders",))
+app("f_cast", "INSERT INTO o SELECT o_orderkey, CAST(o_totalprice AS INT) AS i, CAST(o_orderkey AS STRING) AS s, CAST(o_orderpriority AS INT) AS n, CAST(left(o_orderpriority, 1) AS BIGINT) AS l, CAST(o_custkey AS DOUBLE) AS d FROM orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS INT) AS i, CAST(o_orderkey AS VARCHAR) AS s, TRY_CAST(o_orderpriority AS INT) AS n, CAST(left(o_orderpriority, 1) AS BIGINT) AS l, CAST(o_custkey AS DOUBLE) AS d FROM orders", inputs=("orders",))
+app("f_math", "INSERT INTO o SELECT event_id, abs(0 - value) AS a, ceil(value) AS c, floor(value) AS f, round(value) AS r, round(value, 1) AS r1, trunc(value, 1) AS t1, truncate(value) AS t, sign(value - 10) AS sg, mod(value, 3) AS m, maximum(value, 10, 5) AS mx, minimum(value, 10) AS mn FROM events", "SELECT event_id, abs(0 - value) AS a, ceil(value) AS c, floor(value) AS f, round(value) AS r, round(value, 1) AS r1, CASE WHEN value >= 0 THEN floor(value * 10) / 10 ELSE -floor(-value * 10) / 10 END AS t1, trunc(value) AS t, CAST(sign(value - 10) AS INT) AS sg, value % 3 AS m, greatest(value, 10, 5) AS mx, least(value, 10.0) AS mn FROM events")
+app("f_math_real", "INSERT INTO o SELECT event_id, round(sqrt(value), 6) AS a, round(exp(value / 100), 6) AS b, round(ln(value + 1), 6) AS c, round(log(value + 1), 6) AS d, round(log10(value + 1), 6) AS e, round(power(value, 2), 4) AS f, round(pow(value, 0.5), 6) AS g, round(sin(value) + cos(value) + tan(value / 1000), 6) AS h, round(asin(value / 1000) + acos(value / 1000) + atan(value), 6) AS i FROM events WHERE value < 900", "SELECT event_id, round(sqrt(value), 6) AS a, round(exp(value / 100), 6) AS b, round(ln(value + 1), 6) AS c, round(ln(value + 1), 6) AS d, round(log10(value + 1), 6) AS e, round(value ** 2, 4) AS f, round(value ** 0.5, 6) AS g, round(sin(value) + cos(value) + tan(value / 1000), 6) AS h, round(asin(value / 1000) + acos(value / 1000) + atan(value), 6) AS i FROM events WHERE value < 900")
+DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)"
+
+
+def documents(name: str, select: str, oracle: str) -> None:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+        return Engine(spark).stream("docs", docs, "doc_id").run(f"INSERT INTO o SELECT {select} FROM docs")["o"]
+
+    QUERIES[name] = query
+    ORACLE[name] = f"SELECT {oracle} FROM {DOCS}"
+
+
+documents(
+    "f_string",
+    "doc_id, length(text) AS n, octet_length(text) AS b, upper(lang) AS u, lower(source) AS lo, concat(lang, '-', source) AS c, lang || source AS c2, substring(text, 3, 5) AS s1, substr(text, -2, 3) AS s2, substring(text, 4) AS s3, left(text, 3) AS l, right(text, 3) AS r, reverse(lang) AS rv, repeat(lang, 2) AS rp, replace(source, 'src', 's') AS re",
+    "doc_id, CAST(length(text) AS INT) AS n, CAST(strlen(text) AS INT) AS b, upper(lang) AS u, lower(source) AS lo, lang || '-' || source AS c, lang || source AS c2, substring(text, 3, 5) AS s1, substring(text, 1, 3) AS s2, substring(text, 4) AS s3, left(text, 3) AS l, right(text, 3) AS r, reverse(lang) AS rv, repeat(lang, 2) AS rp, replace(source, 'src', 's') AS re",
+)
+documents(
+    "f_string_more",
+    "doc_id, trim(concat('  ', lang, '  ')) AS t, ltrim(concat('  ', lang)) AS lt, rtrim(concat(lang, '  ')) AS rt, position('the', text) AS p, locate('e', lang) AS lc, instr('n', lang) AS i, ascii(text) AS a, ascii('') AS e, chr(955) AS ch, lpad(lang, 5, '*') AS lp, rpad(lang, 5, 'ab') AS rp, lpad(lang, 4, '') AS l0, starts_with(text, 'T') AS sw, ends_with(text, '.') AS ew, contains(text, 'the') AS ct",
+    "doc_id, lang AS t, lang AS lt, lang AS rt, CAST(strpos(text, 'the') AS INT) AS p, CAST(strpos(lang, 'e') AS INT) AS lc, CAST(strpos(lang, 'n') AS INT) AS i, CASE WHEN text <> '' THEN unicode(text) END AS a, NULL::INT AS e, chr(955) AS ch, lpad(lang, 5, '*') AS lp, rpad(lang, 5, 'ab') AS rp, lang AS l0, starts_with(text, 'T') AS sw, ends_with(text, '.') AS ew, contains(text, 'the') AS ct",
+)
+documents(
+    "f_null_functions",
+    "doc_id, coalesce(nullif(lang, 'en'), source, 'x') AS c, default(nullif(lang, 'en'), 'none') AS d, ifnull(nullif(doc_id, CAST(3 AS BIGINT)), 0) AS i, nullif(lang, 'de') AS n, IF(doc_id > 10, 'hi', 'lo') AS f, is_null(nullif(lang, 'fr')) AS isn, is_not_null(lang) AS inn, instanceOfString(lang) AS s, instanceOfLong(lang) AS l, instanceOfLong(doc_id) AS k",
+    "doc_id, coalesce(nullif(lang, 'en'), source, 'x') AS c, coalesce(nullif(lang, 'en'), 'none') AS d, coalesce(nullif(doc_id, 3), 0) AS i, nullif(lang, 'de') AS n, CASE WHEN doc_id > 10 THEN 'hi' ELSE 'lo' END AS f, lang = 'fr' AS isn, lang IS NOT NULL AS inn, lang IS NOT NULL AS s, false AS l, true AS k",
+)
+app("f_date", "INSERT INTO o SELECT event_id, eventTimestamp() AS t, formatDate(eventTimestamp(), '%Y-%m-%d %H:%M:%S') AS f, parseDate(formatDate(eventTimestamp(), '%Y-%m-%d'), '%Y-%m-%d') AS p, dateAdd(eventTimestamp(), 2, 'hours') AS a, eventTimestamp() + INTERVAL '1' DAY AS i, EXTRACT(HOUR FROM eventTimestamp()) AS h, aggregateBaseTime(eventTimestamp(), 'hour') AS b FROM events", f"SELECT event_id, t, strftime(make_timestamp(t * 1000), '%Y-%m-%d %H:%M:%S') AS f, t - t % {DAY} AS p, t + {2 * HOUR} AS a, t + {DAY} AS i, t // {HOUR} % 24 AS h, t - t % {HOUR} AS b FROM {E}")
+
+
+@plain("f_now_uuid", "SELECT count(*) AS n, count(*) AS u, true AS recent FROM events")
+def f_now_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = engine(spark, sf_dir).run("INSERT INTO o SELECT event_id, uuid() AS u, now() AS t FROM events")["o"]
+    return o.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u"), F.min(F.col("t") > 1_700_000_000_000).alias("recent"))
+
+
+@plain("f_udf", "SELECT event_id, value * 2 + 1 AS r FROM events")
+def f_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).udf("twice_plus", lambda x, y: x * 2 + y, "DOUBLE").run("INSERT INTO o SELECT event_id, twice_plus(value, 1) AS r FROM events")["o"]
+
+
+# Sources and sinks: payloads there and back
+
+
+@plain("io_json", "SELECT event_id, user_id, event_type, value, CAST(props->>'$.k' AS INT) AS k FROM events")
+def io_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright import types
+    from tidewright.sources.formats import from_json, to_json
+
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("USER_ID"), "event_type", "value", F.from_json("props", "k int").alias("props"))
+    schema = types.schema((("event_id", "LONG"), ("user_id", "LONG"), ("event_type", "STRING"), ("value", "DOUBLE"), ("k", "INT")))
+    return from_json(to_json(rows), schema, mappings={"k": "$.props.k"}).drop("_error")
+
+
+@plain("io_csv", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def io_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright import types
+    from tidewright.sources.formats import from_csv, to_csv
+
+    rows = read(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey", "o_totalprice")
+    schema = types.schema((("o_orderkey", "LONG"), ("o_orderstatus", "STRING"), ("o_totalprice", "DOUBLE")))
+    return from_csv(to_csv(rows, ";"), schema, delimiter=";", columns={"o_orderstatus": 0, "o_orderkey": 1, "o_totalprice": 2}).drop("_error")
+
+
+@plain("io_bytes", "SELECT event_id, octet_length(encode(props)) AS n, md5(props) AS h FROM events")
+def io_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.sources.formats import from_bytes
+
+    rows = read(spark, sf_dir, "events").select("event_id", "props")
+    back = from_bytes(rows.select("event_id", F.col("props").cast("binary").alias("value")), "raw")
+    return back.select("event_id", F.octet_length("raw").alias("n"), F.md5("raw").alias("h"))
+
+
+@plain("io_dead_letters", "SELECT event_id AS ok, NULL AS original FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT NULL, props || '!' FROM events WHERE event_id % 3 = 0")
+def io_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright import types
+    from tidewright.sources.errors import handled
+    from tidewright.sources.formats import from_json
+
+    text = F.when(F.col("event_id") % 3 == 0, F.concat("props", F.lit("!"))).otherwise(F.to_json(F.struct("event_id")))
+    rows = read(spark, sf_dir, "events").select(text.alias("value"), text.alias("_payload"))
+    broken = rows.withColumn("value", F.when(F.endswith("value", F.lit("!")), F.lit("{")).otherwise(F.col("value")))
+    good, dead = handled(from_json(broken, types.schema((("event_id", "LONG"),))), "dlq", "events")
+    return good.select(F.col("event_id").alias("ok"), F.lit(None).cast("string").alias("original")).unionByName(dead.select(F.lit(None).cast("bigint").alias("ok"), F.col("originalEvent").alias("original")))
