@@ -17,6 +17,7 @@ NAMES = {
     "binary": ("OBJECT",),
 }
 _SPARK = {name: spark for spark, names in NAMES.items() for name in names}
+CLASSES = {"string": T.StringType, "int": T.IntegerType, "bigint": T.LongType, "float": T.FloatType, "double": T.DoubleType, "boolean": T.BooleanType, "binary": T.BinaryType}
 RANK = {"int": 0, "bigint": 1, "float": 2, "double": 3}
 
 
@@ -28,7 +29,7 @@ def spark_type(name: str) -> str:
 
 
 def schema(columns: tuple[tuple[str, str], ...]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(spark_type(t))) for n, t in columns])
+    return T.StructType([T.StructField(n, CLASSES[spark_type(t)]()) for n, t in columns])
 
 
 def widest(a: str, b: str) -> str:
