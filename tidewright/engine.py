@@ -103,7 +103,9 @@ class Engine:
                     self.ctx.streams[s.name] = Stream(self._typed(s.name, self.ctx.streams[s.name].df))
             elif isinstance(s, A.CreateTable):
                 check_options(s.name, s.options, table=True)
-                if s.name not in self.ctx.tables:
+                if s.name not in self.ctx.tables and s.options.get("extension") == "jdbc":
+                    self.ctx.tables[s.name] = Table(self._jdbc(s), s.key)
+                elif s.name not in self.ctx.tables:
                     self.ctx.tables[s.name] = Table(self.spark.createDataFrame([], types.schema(s.columns)), s.key)
                 elif s.key:
                     self.ctx.tables[s.name].key = s.key
@@ -194,6 +196,12 @@ class Engine:
             t.df = table_ops.folded(log, key, [TS, SEQ]).select(*columns)
         out[w.table] = t.df
 
+    def _jdbc(self, s: A.CreateTable) -> DataFrame:
+        """A database's table by Spark's reader, which pushes filters and columns down; the driver's jar must be on the class path."""
+        o = s.options
+        rows = self.spark.read.jdbc(o["url"], o.get("table", s.name), properties={k.removeprefix("jdbc."): v for k, v in o.items() if k.startswith("jdbc.")})
+        return rows.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in types.schema(s.columns).fields))
+
     def _span(self) -> tuple[int, int]:
         """From the first to the last event of the bound streams."""
         low, high = None, None

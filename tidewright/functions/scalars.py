@@ -175,6 +175,11 @@ def _instance(kind: str) -> Scalar:
     return Scalar(1, 1, _bool, lambda a: a[0].col.isNotNull() if a[0].type == kind else F.lit(False))
 
 
+def _time(a: Typed) -> Column:
+    """Milliseconds, or a date and time as text."""
+    return F.unix_millis(F.try_to_timestamp(a.col)) if a.type == "string" else a.col.cast("bigint")
+
+
 FLOOR_MS = {"second": 1_000, "sec": 1_000, "minute": 60_000, "min": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000, "month": 2_592_000_000, "year": 31_536_000_000}
 
 
@@ -245,6 +250,8 @@ SCALARS: dict[str, Scalar] = {
     "dateadd": Scalar(3, 3, _long, _date_add),
     "timestampinmilliseconds": Scalar(0, 1, _long, lambda a: F.unix_millis(F.try_to_timestamp(a[0].col)) if a else F.unix_millis(F.current_timestamp())),
     "aggregatebasetime": Scalar(2, 2, _long, lambda a: a[0].col - F.pmod(a[0].col, F.lit(duration_ms(str(_constant(a[1], "a duration")))))),
+    "starttimeendtime": Scalar(2, 2, lambda a: "object", lambda a: F.array(_time(a[0]), _time(a[1]))),
+    "shouldupdate": Scalar(1, 1, _bool, lambda a: a[0].col.cast("bigint") >= F.col("_ts")),
     "gettimezone": Scalar(0, 0, _string, lambda a: F.current_timezone()),
 }
 #: Other names of functions.

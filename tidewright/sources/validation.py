@@ -19,6 +19,8 @@ def check_options(name: str, options: dict, table: bool) -> None:
             raise DialectError(f"table {name}: unknown extension {ext}")
         if ext == "cache" and not str(options.get("max_size", "")).isdigit():
             raise DialectError(f"table {name}: a cache needs max_size")
+        if ext == "jdbc" and "url" not in options:
+            raise DialectError(f"table {name}: jdbc needs a url")
         return
     if kind is None:
         if "extension" in options:
