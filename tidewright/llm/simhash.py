@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import vptree
-from tidewright.llm.common import LOWER, shared, text_or_empty
+from tidewright.llm.common import LOWER, map_batches, shared, text_or_empty
 from tidewright.llm.components import components
 
 SEED = 42
@@ -35,16 +35,31 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``_id, fp``, fp as a signed long. A null text is empty, and an empty text has fingerprint zero."""
+def mixed(hashes: np.ndarray, plane: int) -> np.ndarray:
+    """Hashes as another hash function would give them; of plane 0 as they are."""
+    if not plane:
+        return hashes
+    x = hashes + np.uint64(plane * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprints(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", planes: int = 1) -> DataFrame:
+    """``_id, fp0, fp1, …``, a fingerprint for each plane, as signed longs. A null text is empty, and an empty text has fingerprints zero."""
+    names = [f"fp{p}" for p in range(planes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((simhash(shingle_hashes(t.as_py(), k)) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["_id", "fp"])
+            fps = np.zeros((planes, b.num_rows), np.uint64)
+            for i, t in enumerate(b.column(1)):
+                hashes = shingle_hashes(t.as_py(), k)
+                for p in range(planes):
+                    fps[p, i] = simhash(mixed(hashes, p))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in fps)], names=["_id", *names])
 
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"))
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, fp bigint")
+    return map_batches(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000, sample: int = 20_000) -> DataFrame:
@@ -73,11 +88,20 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
     owner = [i for i, (_, start) in enumerate(trees) for _ in range((trees[i + 1][1] if i + 1 < len(trees) else first) - start)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for (tree, start), m in zip(trees, masks):
-                for leaf, index, home in vptree.route(tree, fp & np.uint64(m), block_radius):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(index), start + leaf, np.int32)), pa.array(fp[index].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
+            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            size += b.num_rows
+            if size >= 1 << 16:
+                yield routed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield routed(np.concatenate(held))
+
+    def routed(fp: np.ndarray) -> pa.RecordBatch:
+        parts = [(start + leaf, index, home) for (tree, start), m in zip(trees, masks) for leaf, index, home in vptree.route(tree, fp & np.uint64(m), block_radius)]
+        shards = np.concatenate([np.full(len(index), leaf, np.int32) for leaf, index, _ in parts])
+        return pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.concatenate([fp[index] for _, index, _ in parts]).view(np.int64)), pa.array(np.concatenate([home for _, _, home in parts]))], names=["shard", "fp", "home"])
 
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         fp = t.column("fp").to_numpy().view(np.uint64)
@@ -85,47 +109,61 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
         a, b, d = vptree.forest(fp, home, masks[owner[key[0].as_py()]], radius, block_radius)
         return pa.table({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64), "distance": d.astype(np.int32)})
 
-    spreaded = fps.select("fp").mapInArrow(spread, "shard int, fp bigint, home boolean")
+    spreaded = map_batches(fps.select("fp"), spread, "shard int, fp bigint, home boolean")
     return spreaded.groupBy("shard").applyInArrow(solve, "a bigint, b bigint, distance int")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **more) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, planes: int = 1, **more) -> DataFrame:
     """One row per input row: ``id_col, fp, component_id``, the component's smallest id.
 
-    Fingerprints are linked if at most ``radius`` bits differ; equal ones are
-    one node, so copies cost nothing after the first. With ``similarity``, a
-    link between different fingerprints also needs that Jaccard similarity of
-    the shingle sets of one text of each (of smallest id); links are verified
-    along the shortest-first forest. Null and empty texts share fingerprint
-    zero. Null ids take part but name no component unless no other id is in
-    it. Repeated rows stay rows. An empty table gives no rows.
+    Documents are linked if at most ``radius`` bits of their fingerprints of
+    any plane differ; further planes, of other hash functions, find what one
+    misses by chance. Documents of equal fingerprints in all planes are one
+    node, so copies cost nothing after the first. With ``similarity``, a link
+    between nodes also needs that Jaccard similarity of the shingle sets of
+    one text of each (of smallest id); links are verified along each plane's
+    shortest-first forest. Null and empty texts share fingerprint zero. Null
+    ids take part but name no component unless no other id is in it. Repeated
+    rows stay rows. An empty table gives no rows.
     """
-    rows = shared(fingerprints(docs, k, id_col, text_col))
-    nodes = shared(rows.groupBy("fp").agg(F.min("_id").alias("least")))
-    found = links(nodes, radius, blocks, **more)
+    names = [f"fp{p}" for p in range(planes)]
+    rows = shared(fingerprints(docs, k, id_col, text_col, planes))
+    hexa = F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names[:2]))
+    nodes = shared(rows.groupBy(*names).agg(F.min("_id").alias("least")).withColumn("node", F.col("fp0") if planes == 1 else hexa))
+    found = None
+    for n in names:
+        first = nodes.groupBy(n).agg(F.min("node").alias("rep"))
+        pairs = links(first.select(F.col(n).alias("fp")), radius, blocks, **more).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        if planes > 1:
+            for end, node in (("_a", "a"), ("_b", "b")):
+                pairs = pairs.join(first.select(F.col(n).alias(end), F.col("rep").alias(node)), end)
+            same = nodes.join(first, n).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+            pairs = pairs.select("a", "b").unionByName(same)
+        else:
+            pairs = pairs.toDF("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
     if similarity is not None:
-        found = verified(shared(found), nodes, docs, k, similarity, id_col, text_col)
-    root = components(found.select("a", "b"))
-    named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        found = verified(shared(found.distinct()), nodes, docs, k, similarity, id_col, text_col)
+    root = components(found)
+    named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(label, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    label = named.select(*names, "root").join(least, "root").select(*names, "component_id")
+    return rows.join(label, names).select(F.col("_id").alias(id_col), F.col("fp0").alias("fp"), "component_id")
 
 
-def verified(found: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The links whose texts have shingle sets of that Jaccard similarity."""
-    pairs = found.select("a", "b").distinct()
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The links (a, b) whose texts have shingle sets of that Jaccard similarity."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).alias("least"), text_or_empty(text_col).cast("binary").alias("t"))
-    one = nodes.join(ends, "fp", "left_semi").join(texts, "least").groupBy("fp").agg(F.min("t").alias("t"))
+    one = nodes.select("node", "least").join(ends, "node", "left_semi").join(texts, "least").groupBy("node").agg(F.min("t").alias("t"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held = [np.unique(shingle_hashes(t.as_py(), k)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int64()))], names=["fp", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int64()))], names=["node", "s"])
 
-    hashed = shared(one.select("fp", "t").mapInArrow(sets, "fp bigint, s array<bigint>"))
-    both = pairs.join(hashed.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(hashed.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    hashed = shared(map_batches(one.select("node", "t"), sets, f"node {nodes.schema['node'].dataType.simpleString()}, s array<bigint>"))
+    both = pairs.join(hashed.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(hashed.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
