@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import text_or_empty
+from tidewright.llm.common import map_batches, text_or_empty
 
 UNKNOWN = "und"
 #: Symbols: 0 stands between words, 1 for any letter that is not in the alphabet.
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", l
 
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    return map_batches(rows, run, T.StructType([*rows.schema.fields[:-1], T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
 
 
 @lru_cache(maxsize=1)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORDS, text_or_empty
+from tidewright.llm.common import WORDS, map_batches, text_or_empty
 
 # Phrases and labels of the base, and notices of common licences with the phrases that each must show.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -120,7 +120,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text_col: str
             n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([b"", *seen], pa.binary()), pa.array([n, *seen.values()], pa.int64())], names=["w", "n"])
 
-    rows = docs.select(text_or_empty(text_col).cast("binary").alias("t")).mapInArrow(run, "w binary, n bigint")
+    rows = map_batches(docs.select(text_or_empty(text_col).cast("binary").alias("t")), run, "w binary, n bigint")
     counts = Counter({bytes(r["w"]): r["n"] for r in rows.groupBy("w").agg(F.sum("n").alias("n")).collect()})
     return counts.pop(b"", 0), counts
 
@@ -155,7 +155,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), *made], names=[id_col, "n_words", "starts", "base_labels", "labels", "score"])
 
     rows = docs.select(id_col, text_or_empty(text_col).cast("binary").alias("_t"))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_words bigint, starts array<bigint>, base_labels array<string>, labels array<string>, score double")
+    return map_batches(rows, run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, n_words bigint, starts array<bigint>, base_labels array<string>, labels array<string>, score double")
 
 
 def license_digest(docs: DataFrame) -> DataFrame:

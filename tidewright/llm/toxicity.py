@@ -6,19 +6,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log
+from math import log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORDS, text_or_empty
+from tidewright.llm.common import WORDS, map_batches, text_or_empty
 from tidewright.llm.langid import held_out
 
 CHAIN = 128
 #: Lengths of stems in bytes.
-STEMS = (4, 5)
+STEMS = (4, 5, 6, 7)
 WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 
 
@@ -46,9 +46,12 @@ class Model:
     move: np.ndarray
     doc: np.ndarray  # bias, log of the expected toxic tokens, largest marginal, expected tokens in a hundred
 
-    def emissions(self, ids: np.ndarray, stems: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """For a flat run of texts; ``first`` and ``last`` mark their ends."""
-        out = self.word[ids] + self.stem[stems].sum(0) + self.bias
+    def stem_sum(self, word: bytes) -> float:
+        return float(sum(self.stem[self.stems.get(word[:n], 0)] for n in STEMS if len(word) > n))
+
+    def emissions(self, ids: np.ndarray, extra: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """For a flat run of texts; ``extra`` has the stems' weights, ``first`` and ``last`` mark the texts' ends."""
+        out = self.word[ids] + extra + self.bias
         out[1:] += np.where(first[1:], 0, self.before[ids[:-1]])
         out[:-1] += np.where(last[:-1], 0, self.after[ids[1:]])
         return out
@@ -102,33 +105,43 @@ def chains(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Numbers(dict):
-    """word -> its number and those of its stems, packed in one integer; remembers up to a million words."""
+    """word -> its number and the weight of its stems, packed in one integer; remembers up to ``remember`` words."""
 
-    def __init__(self, vocab: dict[bytes, int], stems: dict[bytes, int], remember: int = 1_000_000):
+    def __init__(self, model: Model, remember: int = 200_000):
         super().__init__()
-        self.vocab, self.stems, self.remember = vocab, stems, remember
+        self.model, self.remember = model, remember
 
     def __missing__(self, word: bytes) -> int:
-        out = self.vocab.get(word, 0)
-        for k, n in enumerate(STEMS, 1):
-            out |= (self.stems.get(word[:n], 0) if len(word) > n else 0) << (21 * k)
+        weight = int.from_bytes(np.float32(self.model.stem_sum(word)).tobytes(), "little", signed=True)
         if len(self) >= self.remember:
             self.clear()
-        self[word] = out
+        out = self[word] = (weight << 32) | self.model.vocab.get(word, 0)
         return out
 
 
-def flat(texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' tokens in one run: words, stems (a row for each length), text sizes, first and last tokens."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    packed = np.fromiter((x for t in texts for x in map(numbers.__getitem__, t)), np.int64, int(sizes.sum()))
-    part = (1 << 21) - 1
-    ids, stems = packed & part, np.stack([packed >> (21 * k) & part for k in range(1, len(STEMS) + 1)])
-    first, last = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
-    ends = np.cumsum(sizes)
+def edges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of the first and last tokens of texts of these sizes."""
+    first, last, ends = np.zeros(int(sizes.sum()), bool), np.zeros(int(sizes.sum()), bool), np.cumsum(sizes)
     first[(ends - sizes)[sizes > 0]] = True
     last[ends[sizes > 0] - 1] = True
-    return ids, stems, sizes, first, last
+    return first, last
+
+
+def infer(m: Model, texts: list[list[bytes]], numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """P(toxic) of all tokens in one run, and the texts' sizes."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    packed = np.fromiter((x for t in texts for x in map(numbers.__getitem__, t)), np.int64, int(sizes.sum()))
+    extra = (packed >> 32).astype(np.int32).view(np.float32).astype(float)
+    return run_marginals(m, packed & 0xFFFFFFFF, extra, sizes), sizes
+
+
+def run_marginals(m: Model, ids: np.ndarray, extra: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    if not len(ids):
+        return np.zeros(0)
+    place, used, _ = chains(sizes)
+    e = np.zeros((len(used), CHAIN))
+    e.reshape(-1)[place] = m.emissions(ids, extra, *edges(sizes))
+    return marginals(e, used, m.move)[0].reshape(-1)[place]
 
 
 def units(word: bytes) -> list[bytes]:
@@ -136,14 +149,23 @@ def units(word: bytes) -> list[bytes]:
     return [word, *(word[:n] + b"*" for n in STEMS if len(word) > n)]
 
 
-def token_labels(texts: list[list[bytes]], toxic: np.ndarray, least_share: float = 0.02, least_odds: float = 3.0) -> set[bytes]:
-    """Words and stems whose tokens count as toxic in toxic texts: in that share of them at least, with those log-odds against the others."""
+def token_labels(texts: list[list[bytes]], toxic: np.ndarray, least_share: float = 0.02, least_odds: float = 3.0, least_bound: float = 1.3) -> set[bytes]:
+    """Words and stems whose tokens count as toxic in toxic texts: in that share of them at least, with those log-odds against the others.
+
+    ``least_bound`` holds for the odds less two standard errors, so that a few
+    texts alone label nothing.
+    """
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     for t, y in zip(texts, toxic.tolist()):
         seen[y].update({u for w in set(t) for u in units(w)})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    odds = lambda w: log((seen[1][w] + 0.5) / (n1 + 1)) - log((seen[0][w] + 0.5) / (n0 + 1))
-    return {w for w, c in seen[1].items() if c >= max(2, least_share * n1) and odds(w) >= least_odds}
+    out = set()
+    for w, c in seen[1].items():
+        a, b = c + 0.5, seen[0][w] + 0.5
+        odds = log(a / (n1 + 1)) - log(b / (n0 + 1))
+        if c >= least_share * n1 and odds >= least_odds and odds - 2 * sqrt(1 / a + 1 / b) >= least_bound:
+            out.add(w)
+    return out
 
 
 def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -166,33 +188,39 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 30, rate: float = 0.
     stem_df = Counter(u for t in ws for u in {w[:n] for w in set(t) for n in STEMS if len(w) > n})
     vocab = {w: i for i, w in enumerate(sorted(w for w, c in df.items() if c >= least_df), 1)}
     stems = {w: i for i, w in enumerate(sorted(w for w, c in stem_df.items() if c >= least_df), 1)}
-    ids, sids, sizes, first, last = flat(ws, Numbers(vocab, stems))
-    marked = {w for w in df if not bad.isdisjoint(units(w))}
-    y = np.array([w in marked and t == 1 for x, t in zip(ws, toxic.tolist()) for w in x], float)
     v, v2 = len(vocab) + 1, len(stems) + 1
     m = Model(vocab, stems, np.zeros(v), np.zeros(v2), np.zeros(v), np.zeros(v), -3.0, np.zeros((2, 2)), np.zeros(4))
-    if not len(ids) or not y.any():
+    # Distinct words carry what is looked up; tokens point at them.
+    known = {w: i for i, w in enumerate(df)}
+    sizes = np.array([len(t) for t in ws], np.int64)
+    at = np.fromiter((known[w] for t in ws for w in t), np.int64, int(sizes.sum()))
+    word_of = np.array([vocab.get(w, 0) for w in known] or [0])
+    stems_of = np.array([[stems.get(w[:n], 0) if len(w) > n else 0 for n in STEMS] for w in known] or [[0] * len(STEMS)])
+    marked = np.array([not bad.isdisjoint(units(w)) for w in known] or [False])
+    y = (marked[at] & np.repeat(toxic == 1, sizes)).astype(float) if len(at) else np.zeros(0)
+    if not y.any():
         m.doc[0] = log((toxic.sum() + 0.5) / (len(toxic) - toxic.sum() + 0.5)) if len(toxic) else -1.0
         return m
+    ids = word_of[at]
+    first, last = edges(sizes)
     place, used, _ = chains(sizes)
-    seen_moves = np.zeros((2, 2))
     grid = np.full((len(used), CHAIN), -1, np.int8)
     grid.reshape(-1)[place] = y
     a, b = grid[:, :-1], grid[:, 1:]
-    for i in (0, 1):
-        for j in (0, 1):
-            seen_moves[i, j] = ((a == i) & (b == j)).sum()
+    seen_moves = np.array([[((a == i) & (b == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     weights = [m.word, m.before, m.after, m.stem, np.array([m.bias]), m.move]
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     count = max(1.0, y.sum())
     for step in range(1, steps + 1):
         m.bias = float(weights[4][0])
         e = np.zeros((len(used), CHAIN))
-        e.reshape(-1)[place] = m.emissions(ids, sids, first, last)
+        e.reshape(-1)[place] = m.emissions(ids, m.stem[stems_of].sum(1)[at], first, last)
         p, moves, _ = marginals(e, used, m.move)
         diff = p.reshape(-1)[place] - y
-        shift = lambda at, skip: np.bincount(ids[at], diff[skip], v)
-        g = [np.bincount(ids, diff, v), shift(np.nonzero(~first)[0] - 1, ~first), shift(np.nonzero(~last)[0] + 1, ~last), sum(np.bincount(x, diff, v2) for x in sids), np.array([diff.sum()]), moves - seen_moves]
+        by_word = np.bincount(at, diff, len(known))
+        before = np.bincount(ids[np.nonzero(~first)[0] - 1], diff[~first], v)
+        after = np.bincount(ids[np.nonzero(~last)[0] + 1], diff[~last], v)
+        g = [np.bincount(word_of, by_word, v), before, after, sum(np.bincount(c, by_word, v2) for c in stems_of.T), np.array([diff.sum()]), moves - seen_moves]
         for k, (w, gr) in enumerate(zip(weights, g)):
             gr = gr / count + decay * w
             if k < 4:
@@ -202,18 +230,11 @@ def train(texts: list[str], toxic: np.ndarray, steps: int = 30, rate: float = 0.
             s2 += 0.01 * (gr * gr - s2)
             w -= rate * (s1 / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-4)
     m.bias = float(weights[4][0])
-    x = document_features(flat_marginals(m, ids, sids, sizes, first, last), sizes)
-    m.doc = logistic(x, toxic.astype(float))
+    p = run_marginals(m, ids, m.stem[stems_of].sum(1)[at], sizes)
+    m.doc = logistic(document_features(p, sizes), toxic.astype(float))
     return m
 
 
-def flat_marginals(m: Model, ids, sids, sizes, first, last) -> np.ndarray:
-    place, used, _ = chains(sizes)
-    e = np.zeros((len(used), CHAIN))
-    e.reshape(-1)[place] = m.emissions(ids, sids, first, last)
-    return marginals(e, used, m.move)[0].reshape(-1)[place] if len(ids) else np.zeros(0)
-
-
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(steps):
@@ -254,8 +275,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     rows = docs.select(*rest, text_or_empty(text_col).alias("__text"))
 
     def some(texts: list[str], m: Model, numbers: Numbers) -> tuple[list, ...]:
-        ids, sids, sizes, first, last = flat([tokens(t) for t in texts], numbers)
-        p = flat_marginals(m, ids, sids, sizes, first, last)
+        p, sizes = infer(m, [tokens(t) for t in texts], numbers)
         s = 1 / (1 + np.exp(-np.clip(document_features(p, sizes) @ m.doc, -30, 30)))
         out = [s.tolist(), (s >= 0.5).astype(int).tolist()]
         if spans:
@@ -266,7 +286,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.float64(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
         m = held.value
-        numbers = Numbers(m.vocab, m.stems)
+        numbers = Numbers(m)
         for b in batches:
             made: tuple[list, ...] = tuple([] for _ in new)
             texts, size = [], 0
@@ -274,7 +294,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
             for i, t in enumerate(column):
                 texts.append(t.as_py())
                 size += len(texts[-1])
-                if size > 1 << 22 or i == len(column) - 1:
+                if size > 1 << 21 or i == len(column) - 1:
                     for c, x in zip(made, some(texts, m, numbers)):
                         c.extend(x)
                     texts, size = [], 0
@@ -283,7 +303,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     from pyspark.sql import types as T
 
     kinds = ("double", "int", "array<struct<start:int,end:int>>")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(new, kinds))]))
+    return map_batches(rows, run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T._parse_datatype_string(k)) for c, k in zip(new, kinds))]))
 
 
 def _spans(text: str, p: np.ndarray) -> list[dict]:
