@@ -13,9 +13,8 @@ import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewright.llm.common import text_or_empty
+from tidewright.llm.common import map_batches, text_or_empty
 
 #: A space before a character that is no white space starts a new piece under the split pattern, whatever stands around it.
 BREAK = re.compile(r"(?= \S)")
@@ -33,7 +32,7 @@ class BytePairCodec:
     gives just these two; that is memoised.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 300_000):
         self.ranks, self.remember = ranks, remember
         self.pattern = regex.compile(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
@@ -165,7 +164,7 @@ def _codec(data: bytes, pattern: str, remember: int) -> BytePairCodec:
     return BytePairCodec(ranks, pattern, remember)
 
 
-def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 1_000_000, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
+def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", remember: int = 300_000, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
     """``docs`` with columns of ``columns``, from whole texts: ``ids array<int>``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``decoded binary``.
 
     The rank file is read on the driver and travels as a broadcast (a
@@ -207,7 +206,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     schema = T.StructType([f for f in rows.schema.fields if f.name != "__text"])
     for c in columns:
         schema = schema.add(c, T._parse_datatype_string(kinds[c]))
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def bpe_decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -225,7 +224,7 @@ def bpe_decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids"
 
     from pyspark.sql import types as T
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))
+    return map_batches(rows, run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))
 
 
 def bpe_digest(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:

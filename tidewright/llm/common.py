@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +54,33 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with bounded batches: texts may be long, so a batch takes 1000 rows and 8 MB at most.
+
+    A worker gives what it no longer needs back to the system when a task
+    ends, as workers live on for other stages.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")):
+        df.sparkSession.conf.set(key, most)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def row_key(id_col: str, text: Column) -> Column:
-    """A key by which equal rows are one document: the id and a 128-bit hash of the text."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text))
+    """A key by which equal rows are one document, as bytes: the id and a 128-bit hash of the text."""
+    return F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"), F.unhex(F.md5(text)))

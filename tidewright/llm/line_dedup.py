@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import row_key, shared, text_or_empty
+from tidewright.llm.common import map_batches, row_key, shared, text_or_empty
 
 BASE, MODULUS = 1_000_003, (1 << 61) - 1
 
@@ -95,18 +95,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for no, (lines, _) in enumerate(chunks(t.as_py(), divisor, window, long_words)):
                     body = b"\n".join(lines)
                     held += len(body)
-                    for c, x in zip(cols, (k, i, no, blake2b(body, digest_size=16).hexdigest(), body)):
+                    for c, x in zip(cols, (k, i, no, blake2b(body, digest_size=16).digest(), body)):
                         c.append(x)
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield batch(cols, b)
                     cols, held = ([], [], [], [], []), 0
             yield batch(cols, b)
 
     def batch(cols, b) -> pa.RecordBatch:
-        kinds = (pa.string(), b.column(1).type, pa.int32(), pa.string(), pa.binary())
+        kinds = (pa.binary(), b.column(1).type, pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_key", "_id", "no", "h", "body"])
 
-    each = source.mapInArrow(cut, f"_key string, _id {kind}, no int, h string, body binary")
+    each = map_batches(source, cut, f"_key binary, _id {kind}, no int, h binary, body binary")
     place = F.struct("_id", "no", "_key")
     bodies = each.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     groups = shared(bodies.where("n > 1").groupBy("h").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("bodies")))
@@ -140,7 +140,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql import types as T
 
     schema = T.StructType([*joined.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in extra)])
-    made = joined.mapInArrow(rebuild, schema).withColumnRenamed("_t", text_col)
+    made = map_batches(joined, rebuild, schema).withColumnRenamed("_t", text_col)
     if count_col is not None:
         made = made.withColumn(count_col, F.when(F.col(extra[2]) > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
     told = [F.col(c).alias(c[3:]) for c in extra] if report else []
