@@ -19,6 +19,10 @@ def block_masks(blocks: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
+#: Links that are looked at together.
+CHUNK = 1 << 13
+
+
 @dataclass
 class Node:
     """Inside: distance to the vantage point at most ``cut``; a leaf has a number and no children."""
@@ -137,25 +141,38 @@ class Links:
                 self._reduce()
 
     def _reduce(self) -> None:
-        a, b, d = (np.concatenate(x) for x in zip(*self.held))
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        _, first = np.unique(lo * self.n + hi, return_index=True)
-        order = first[np.argsort(d[first], kind="stable")]
-        root = list(range(self.n))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+        """Kruskal's algorithm, a chunk at a time: what a chunk's links already have in one component goes by array operations.
 
+        A group of copies so costs a loop over its members, not over its pairs.
+        """
+        a, b, d = (np.concatenate(x) for x in zip(*self.held))
+        order = np.argsort(d, kind="stable")
+        root = np.arange(self.n)
         kept = []
-        for i, x, y in zip(order.tolist(), lo[order].tolist(), hi[order].tolist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                kept.append(i)
-        self.held = [(lo[kept], hi[kept], d[kept])]
+        for i in range(0, len(order), CHUNK):
+            part = order[i : i + CHUNK]
+            part = part[root[a[part]] != root[b[part]]]
+            if not len(part):
+                continue
+            up: dict[int, int] = {}
+
+            def find(x: int) -> int:
+                while (y := up.get(x, x)) != x:
+                    up[x] = up.get(y, y)
+                    x = y
+                return x
+
+            for k, x, y in zip(part.tolist(), root[a[part]].tolist(), root[b[part]].tolist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    kept.append(k)
+            changed = np.array(list(up), np.int64)
+            to = np.arange(self.n)
+            to[changed] = [find(x) for x in up]
+            root = to[root]
+        lo, hi = np.minimum(a[kept], b[kept]), np.maximum(a[kept], b[kept])
+        self.held = [(lo, hi, d[kept])]
         self.waiting = len(kept)
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
