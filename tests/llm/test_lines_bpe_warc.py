@@ -76,6 +76,44 @@ def test_line_dedup(spark):
     assert line_digest(df).count() == len(docs) and line_digest(df.where("false")).count() == 0
 
 
+def brute_runs(docs, min_words=30):
+    """Every run of whole lines of enough words, from a line of words to one, that stood before by (id, place)."""
+    seen, out = set(), {}
+    for d in sorted({(i, t or "") for i, t in docs}):
+        lines, gone = d[1].split("\n"), set()
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(lines[i:j])
+                if lines[i].split() and lines[j - 1].split() and sum(len(x.split()) for x in run) >= min_words:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        out[d] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_whole_runs(spark):
+    from tidewright.llm.line_dedup import line_dedup
+
+    docs, _, block = line_corpus()
+    r = random.Random(4)
+    shared_ = [[passage(r, r.randrange(0, 45)) for _ in range(r.randrange(1, 6))] for _ in range(25)]
+    for i in range(30, 90):
+        own = [passage(r, r.randrange(0, 20)) for _ in range(r.randrange(6))]
+        for _ in range(r.randrange(3)):
+            at, run = r.randrange(len(own) + 1), r.choice(shared_)
+            own[at:at] = run[r.randrange(2) :]
+        docs.append((i, "\n".join(own)))
+    pair = [passage(r, 30) for _ in range(2)]
+    docs += [(100 + i, "\n".join([passage(r, 8), *pair, passage(r, 8)])) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    want, source = brute_runs(docs), dict(docs)
+    for row in line_dedup(df, whole=True).collect():
+        assert (row.text or "") == want[row.doc_id, source[row.doc_id] or ""]
+    left = "\n".join(x.text or "" for x in line_dedup(df, whole=True).collect()).split("\n")
+    assert [left.count(x) for x in pair + block] == [1] * 14
+
+
 def test_chunks_resist_shifts():
     from tidewright.llm.line_dedup import chunks
 

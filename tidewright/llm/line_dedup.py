@@ -62,29 +62,45 @@ def removed_runs(sizes: list[tuple[int, int]], repeated: set[int], min_words: in
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, divisor: int = 2, window: int = 2, long_words: int = 50, report: bool = False, count_col: str | None = None) -> DataFrame:
-    """``docs`` with repeated multi-line chunks cut from ``text_col``; with ``report``, also ``n_lines, n_chunks, n_removed, removed_words``.
-
-    ``count_col``, if given, names a column that gets the length of the new
-    text where it changed.
+def passages(lines: list[bytes], min_words: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Words of each line, and the ranges (start, end) of lines that are the shortest of ``min_words`` words or more from their start or to their end.
 
-    Of equal chunks all over the table, the occurrence of smallest (id, place)
-    stays; the others go where they, with the repeated chunks next to them,
-    make ``min_words`` words or more, which short stock lines alone don't.
-    Rows stay, with the rest of their lines, even where nothing is left of
-    the text. A text without removals is unchanged; a null stays null and
-    counts as empty. Rows that repeat an id with an equal text are one
-    document. A null id counts as the smallest.
-
-    Chunks are grouped by a 128-bit hash *and* their bytes, combined before
-    the shuffle, so a chunk in a third of all documents is one row a task.
-    Occurrences then find their group by hash alone, without text, unless two
-    contents met under one hash. What goes out of a document comes back as
-    chunk numbers, at most as many as it has lines.
+    Ranges start and end with a line of words. A run of whole lines that stood
+    elsewhere is the union of such ranges, and each of them stood there too: a
+    line with enough words up to it ends a range inside the run, and any line
+    before lies in the range from the run's start.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    key = row_key(id_col, text_or_empty(text_col))
-    source = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"))
+    counts = [len(x.split()) for x in lines]
+    found: set[tuple[int, int]] = set()
+    start, held, at = 0, 0, [i for i, n in enumerate(counts) if n]
+    for k, i in enumerate(at):  # to the end i
+        held += counts[i]
+        while held - counts[at[start]] >= min_words:
+            held -= counts[at[start]]
+            start += 1
+        if held >= min_words:
+            found.add((at[start], i + 1))
+    end, held = len(at) - 1, 0
+    for k in range(len(at) - 1, -1, -1):  # from the start at[k]
+        held += counts[at[k]]
+        while held - counts[at[end]] >= min_words:
+            held -= counts[at[end]]
+            end -= 1
+        if held >= min_words:
+            found.add((at[k], at[end] + 1))
+    return counts, sorted(found)
+
+
+def passage_hashes(text: bytes, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(start, end, hash) of each of the ``passages``; 256 bits of the hashes of their lines."""
+    lines = text.split(b"\n")
+    _, ranges = passages(lines, min_words)
+    each = [blake2b(x, digest_size=32).digest() for x in lines] if ranges else []
+    return [(a, b, blake2b(b"".join(each[a:b]), digest_size=32).digest()) for a, b in ranges]
+
+
+def _chunks_gone(source: DataFrame, kind: str, divisor: int, window: int, long_words: int) -> DataFrame:
+    """``_key, _gone``: numbers of the chunks that are not the first of their content."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -115,7 +131,63 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not clash.isEmpty():
         apart = each.join(clash, "h", "left_semi").join(bodies.where("n > 1").join(clash, "h", "left_semi").select("h", "body", "first"), ["h", "body"])
         repeats = repeats.unionByName(apart.select("_key", "no", "_id", "first"))
-    gone = repeats.where(~F.struct("_id", "no", "_key").eqNullSafe(F.col("first"))).groupBy("_key").agg(F.collect_set("no").alias("_gone"))
+    return repeats.where(~F.struct("_id", "no", "_key").eqNullSafe(F.col("first"))).groupBy("_key").agg(F.collect_set("no").alias("_gone"))
+
+
+def _whole_gone(source: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """``_key, _gone``: numbers of the lines inside passages that stood before."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, ids, at, ends, hashes = [], [], [], [], []
+            for n, (k, t) in enumerate(zip(b.column(0), b.column(2))):
+                for start, end, h in passage_hashes(t.as_py(), min_words):
+                    keys.append(k.as_py())
+                    ids.append(n)
+                    at.append(start)
+                    ends.append(end)
+                    hashes.append(h)
+            own = b.column(1).take(pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), own, pa.array(at, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.binary())], names=["_key", "_id", "no", "end", "h"])
+
+    each = map_batches(source, cut, f"_key binary, _id {kind}, no int, end int, h binary")
+    groups = shared(each.groupBy("h").agg(F.min(F.struct("_id", "no", "_key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first.no", "first._key"))
+    first = groups.select("h", F.col("no").alias("_no"), F.col("_key").alias("_first"))
+    later = each.select("_key", "no", "end", "h").join(first, "h").where((F.col("_key") != F.col("_first")) | (F.col("no") != F.col("_no")))
+    spans = later.groupBy("_key").agg(F.collect_set(F.struct("no", "end")).alias("at"))
+    return spans.select("_key", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["no"], x["end"] - 1)))).alias("_gone"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, divisor: int = 2, window: int = 2, long_words: int = 50, report: bool = False, count_col: str | None = None, whole: bool = False) -> DataFrame:
+    """``docs`` with repeated multi-line chunks cut from ``text_col``; with ``report``, also ``n_lines, n_chunks, n_removed, removed_words``.
+
+    ``count_col``, if given, names a column that gets the length of the new
+    text where it changed.
+
+    Of equal chunks all over the table, the occurrence of smallest (id, place)
+    stays; the others go where they, with the repeated chunks next to them,
+    make ``min_words`` words or more, which short stock lines alone don't.
+    Rows stay, with the rest of their lines, even where nothing is left of
+    the text. A text without removals is unchanged; a null stays null and
+    counts as empty. Rows that repeat an id with an equal text are one
+    document. A null id counts as the smallest.
+
+    Chunks are grouped by a 128-bit hash *and* their bytes, combined before
+    the shuffle, so a chunk in a third of all documents is one row a task.
+    Occurrences then find their group by hash alone, without text, unless two
+    contents met under one hash. What goes out of a document comes back as
+    chunk numbers, at most as many as it has lines.
+
+    With ``whole``, no chunks are made: every run of whole lines with
+    ``min_words`` words or more that stood before, by (id, place), goes, from
+    its first line of words to its last, wherever it starts and ends; lines
+    are then the chunks that are counted. Runs are compared by 256-bit hashes.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    key = row_key(id_col, text_or_empty(text_col))
+    source = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"))
+
+    gone = _whole_gone(source, kind, min_words) if whole else _chunks_gone(source, kind, divisor, window, long_words)
     extra = [f"_r_{c}" for c in ("n_lines", "n_chunks", "n_removed", "removed_words")]
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +199,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     texts.append(t)
                     drop, parts = set(), []
                 else:
-                    parts = chunks(t.encode(), divisor, window, long_words)
-                    drop = removed_runs([(len(a), n) for a, n in parts], repeated, min_words)
+                    if whole:
+                        parts, drop = [([x], len(x.split())) for x in t.encode().split(b"\n")], repeated
+                    else:
+                        parts = chunks(t.encode(), divisor, window, long_words)
+                        drop = removed_runs([(len(a), n) for a, n in parts], repeated, min_words)
                     texts.append(b"\n".join(x for i, (a, _) in enumerate(parts) if i not in drop for x in a).decode() if drop else t)
                 for c, x in zip(told, (sum(len(a) for a, _ in parts), len(parts), len(drop), sum(parts[i][1] for i in drop))):
                     c.append(x)
@@ -149,5 +224,5 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """One row per document: what was cut, and the hash of what is left."""
-    done = line_dedup(docs.select("doc_id", "text"), report=True)
+    done = line_dedup(docs.select("doc_id", "text"), report=True, whole=True)
     return done.select("doc_id", "n_lines", "n_chunks", "n_removed", "removed_words", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
