@@ -134,6 +134,47 @@ def test_planes_find_more(spark):
     assert near_duplicates(df, radius=7, similarity=0.8, planes=4).where("component_id < doc_id - 1").count() == 0
 
 
+def exact_components(texts, k=5, least=0.8):
+    def shingles(t):
+        w = t.split()
+        return {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {" ".join(w)}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= least * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in range(len(texts))}
+
+
+def test_pairs_near_the_similarity_are_found(spark):
+    from tidewright.llm.simhash import near_duplicates
+
+    r = random.Random(12)
+    texts = []
+    for _ in range(150):
+        w = ["w%d" % r.randrange(10**6) for _ in range(250)]
+        v = list(w)
+        for at in r.sample(range(5), 1):
+            for x in range(5):
+                v[at + x * 50] = "v%d" % r.randrange(10**6)
+        texts += [" ".join(w), " ".join(v)]
+    root = exact_components(texts)
+    linked = [i for i in root if root[i] != i]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in near_duplicates(df, radius=7, similarity=0.8, planes=4).collect()}
+    assert len(linked) == 150 and sum(got[i] == root[i] for i in linked) >= 149
+    assert all(got[i] == root[i] for i in root if root[i] == i)
+
+
 def test_components(spark):
     from tidewright.llm.components import components
 

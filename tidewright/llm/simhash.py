@@ -45,21 +45,44 @@ def mixed(hashes: np.ndarray, plane: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def band_keys(distinct: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of ``rows`` MinHash values; sets of Jaccard similarity J have a key in common with probability 1 - (1 - J ** rows) ** bands. None of an empty set."""
+    if not len(distinct):
+        return np.empty(0, np.uint64)
+    by = mixed(np.arange(bands * rows, dtype=np.uint64), 1) | np.uint64(1)
+    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(distinct), 1 << 10):
+        low = np.minimum(low, (distinct[i : i + (1 << 10), None] * by).min(0))
+    keys = np.arange(bands, dtype=np.uint64)
+    for column in low.reshape(bands, rows).T:
+        keys = mixed(keys ^ column, 2)
+    return keys
+
+
 def fingerprints(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text", planes: int = 1) -> DataFrame:
     """``_id, fp0, fp1, …``, a fingerprint for each plane, as signed longs. A null text is empty, and an empty text has fingerprints zero."""
+    return _prints(docs, k, id_col, text_col, planes, 0, 0).drop("_h", "node", "keys")
+
+
+def _prints(docs: DataFrame, k: int, id_col: str, text_col: str, planes: int, bands: int, band_rows: int) -> DataFrame:
+    """The fingerprints, with ``_h``, a hash of the text, and with bands also ``node``, 128 bits of the shingle set, and ``keys``, those of the bands."""
     names = [f"fp{p}" for p in range(planes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.zeros((planes, b.num_rows), np.uint64)
+            sets, keys = [], []
             for i, t in enumerate(b.column(1)):
                 hashes = shingle_hashes(t.as_py(), k)
                 for p in range(planes):
                     fps[p, i] = simhash(mixed(hashes, p))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x.view(np.int64)) for x in fps)], names=["_id", *names])
+                distinct = np.unique(hashes) if bands else hashes[:0]
+                sets.append(xxhash.xxh128_digest(distinct.tobytes(), SEED) if bands else None)
+                keys.append(band_keys(distinct, bands, band_rows).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x.view(np.int64)) for x in fps), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_h", *names, "node", "keys"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"))
-    return map_batches(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, " + ", ".join(f"{n} bigint" for n in names))
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"), F.xxhash64(text_or_empty(text_col)).alias("_h"))
+    return map_batches(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, _h bigint, " + ", ".join(f"{n} bigint" for n in names) + ", node binary, keys array<bigint>")
 
 
 def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000, sample: int = 20_000) -> DataFrame:
@@ -113,28 +136,32 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
     return spreaded.groupBy("shard").applyInArrow(solve, "a bigint, b bigint, distance int")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, planes: int = 1, **more) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, planes: int = 1, bands: int = 30, band_rows: int = 7, **more) -> DataFrame:
     """One row per input row: ``id_col, fp, component_id``, the component's smallest id.
 
     Documents are linked if at most ``radius`` bits of their fingerprints of
     any plane differ; further planes, of other hash functions, find what one
-    misses by chance. Documents of equal fingerprints in all planes are one
-    node, so copies cost nothing after the first. With ``similarity``, a link
-    between nodes also needs that Jaccard similarity of the shingle sets of
-    one text of each (of smallest id); links are verified along each plane's
-    shortest-first forest. Null and empty texts share fingerprint zero. Null
-    ids take part but name no component unless no other id is in it. Repeated
-    rows stay rows. An empty table gives no rows.
+    misses by chance. Without ``similarity``, documents of equal fingerprints
+    in all planes are one node, so copies cost nothing after the first. With
+    it, a node is a shingle set; keys of ``bands`` MinHash bands link nodes
+    too, and such links only say what to compare: see :func:`alike`. Null
+    and empty texts share fingerprint zero. Null ids take part but name no
+    component unless no other id is in it. Repeated rows stay rows. An empty
+    table gives no rows.
     """
     names = [f"fp{p}" for p in range(planes)]
-    rows = shared(fingerprints(docs, k, id_col, text_col, planes))
-    hexa = F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names[:2]))
-    nodes = shared(rows.groupBy(*names).agg(F.min("_id").alias("least")).withColumn("node", F.col("fp0") if planes == 1 else hexa))
+    sets = similarity is not None
+    rows = _prints(docs, k, id_col, text_col, planes, bands if sets else 0, band_rows)
+    if not sets:
+        rows = rows.withColumn("node", F.col("fp0") if planes == 1 else F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
+    rows = shared(rows)
+    pick = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("pick")
+    nodes = shared(rows.groupBy("node", *names).agg(F.min("_id").alias("least"), pick, F.first("keys").alias("keys")))
     found = None
     for n in names:
         first = nodes.groupBy(n).agg(F.min("node").alias("rep"))
         pairs = links(first.select(F.col(n).alias("fp")), radius, blocks, **more).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        if planes > 1:
+        if sets or planes > 1:
             for end, node in (("_a", "a"), ("_b", "b")):
                 pairs = pairs.join(first.select(F.col(n).alias(end), F.col("rep").alias(node)), end)
             same = nodes.join(first, n).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
@@ -142,30 +169,107 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int =
         else:
             pairs = pairs.toDF("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
-    if similarity is not None:
-        found = verified(shared(found.distinct()), nodes, docs, k, similarity, id_col, text_col)
+    if sets:
+        each = nodes.select("node", F.explode("keys").alias("key"))
+        rep = each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        found = found.unionByName(each.join(rep, "key").where("node <> a").select("a", F.col("node").alias("b")))
+        found = alike(shared(found.distinct()), nodes, docs, k, similarity, id_col, text_col)
     root = components(found)
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select(*names, "root").join(least, "root").select(*names, "component_id")
-    return rows.join(label, names).select(F.col("_id").alias(id_col), F.col("fp0").alias("fp"), "component_id")
+    label = named.select("node", "root").join(least, "root").select("node", "component_id")
+    return rows.join(label, "node").select(F.col("_id").alias(id_col), F.col("fp0").alias("fp"), "component_id")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The links (a, b) whose texts have shingle sets of that Jaccard similarity."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = docs.select(F.col(id_col).alias("least"), text_or_empty(text_col).cast("binary").alias("t"))
-    one = nodes.select("node", "least").join(ends, "node", "left_semi").join(texts, "least").groupBy("node").agg(F.min("t").alias("t"))
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str, block: int = 1000, anchors: int = 16) -> DataFrame:
+    """``a, b``: links with the components of all pairs of that Jaccard similarity inside each component of ``pairs``.
+
+    Every two nodes that ``pairs`` join, by whatever path, count as compared.
+    A component is dealt to blocks of about ``block`` nodes, each with the same
+    few ``anchors`` so that a large group of near copies is one at once. Of a
+    component of several blocks, the nodes outside its largest group then meet
+    all others, block by block.
+    """
+    kind = nodes.schema["node"].dataType.simpleString()
+    group = components(pairs).select("node", F.col("root").alias("c"))
+    at = nodes.select("node", "pick").join(group, "node").select("node", "c", F.col("pick._id").alias("_i"), F.col("pick._h").alias("_th"))
+    texts = docs.select(F.col(id_col).alias("_d"), text_or_empty(text_col).cast("binary").alias("t"), F.xxhash64(text_or_empty(text_col)).alias("_h"))
+    one = texts.join(at, (F.col("_h") == F.col("_th")) & F.col("_d").eqNullSafe(F.col("_i"))).select("c", "node", "t")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = [np.unique(shingle_hashes(t.as_py(), k)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.list_(pa.int64()))], names=["node", "s"])
+            held = [np.unique(shingle_hashes(t.as_py(), k)).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.int64()))], names=["c", "node", "s"])
 
-    hashed = shared(map_batches(one.select("node", "t"), sets, f"node {nodes.schema['node'].dataType.simpleString()}, s array<bigint>"))
-    both = pairs.join(hashed.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(hashed.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        place = {x: i for i, x in enumerate(t.column("node").to_pylist())}  # an anchor, or a node outside, may come twice
+        t = t.take(pa.array(sorted(place.values())))
+        a, b = jaccard_links(t.column("s").combine_chunks(), t.column("g").to_pylist(), similarity)
+        node = t.column("node").combine_chunks()
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+
+    hashed = shared(map_batches(one, sets, f"c {kind}, node {kind}, s array<bigint>"))
+    size = hashed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block))
+    dealt = hashed.join(size, "c").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
+    large = size.where("parts > 1")
+    schema = f"a {kind}, b {kind}"
+    if large.isEmpty():
+        return shared(dealt.select("c", "p", "node", F.col("node").alias("g"), "s").groupBy("c", "p").applyInArrow(solve, schema))
+    heads = hashed.join(large.select("c"), "c").groupBy("c").agg(F.slice(F.array_sort(F.collect_set("node")), 1, anchors).alias("h")).select("c", F.explode("h").alias("node"))
+    spread = hashed.join(heads, ["c", "node"]).join(large, "c").select("c", "node", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
+    first = shared(dealt.select("c", "p", "node", "s").unionByName(spread.select("c", "p", "node", "s")).withColumn("g", F.col("node")).groupBy("c", "p").applyInArrow(solve, schema))
+    now = hashed.join(large, "c").join(components(first), "node", "left").select("c", "node", "s", "parts", F.coalesce("root", "node").alias("g"))
+    now = shared(now)
+    groups = now.groupBy("c", "g").agg(F.count(F.lit(1)).alias("m"))
+    top = groups.groupBy("c").agg(F.max_by("g", F.struct("m", "g")).alias("top"))
+    minor = now.join(top, "c").where("g <> top")
+    if minor.isEmpty():
+        return first
+    few = minor.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block).alias("few"))
+    ours = minor.join(few, "c").withColumn("q", F.pmod(F.xxhash64("node"), F.col("few")))
+    ours = ours.select("c", "node", "s", "g", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
+    all_ = now.join(few, "c").select("c", "node", "s", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("few") - 1)).alias("q"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("p"))
+    second = ours.select("c", "node", "s", "g", "q", "p").unionByName(all_.select("c", "node", "s", "g", "q", "p")).groupBy("c", "q", "p").applyInArrow(solve, schema)
+    return shared(first.unionByName(second))
+
+
+def jaccard_links(sets: pa.ListArray, groups: list, similarity: float) -> tuple[list[int], list[int]]:
+    """Links that join what pairs of that similarity join, beyond what is one group already; rows are sets of distinct numbers.
+
+    A row is compared with all others unless it is in the largest group: a
+    pair across two groups has a row outside of that one.
+    """
+    n = len(sets)
+    sizes = np.diff(sets.offsets.to_numpy())
+    values = sets.flatten().to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(n), sizes)
+    _, token = np.unique(values, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    holders = owner[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(token))]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    names = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+    label = np.array([names[g] for g in groups], np.int64)
+    done = np.zeros(n, bool)
+    a: list[int] = []
+    b: list[int] = []
+    while True:
+        left = np.nonzero(~done & (label != np.argmax(np.bincount(label, minlength=1))))[0] if n else ()
+        if not len(left):
+            return a, b
+        i = int(left[0])
+        done[i] = True
+        mine = token[ends[i] : ends[i + 1]]
+        first, many = starts[mine], starts[mine + 1] - starts[mine]
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(holders[at], minlength=n)
+        near = np.nonzero((common >= similarity * (sizes[i] + sizes - common)) & (label != label[i]))[0]
+        _, one = np.unique(label[near], return_index=True)
+        for j in near[one].tolist():
+            a.append(i)
+            b.append(j)
+        if len(near):
+            label[np.isin(label, label[near])] = label[i]
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
