@@ -175,6 +175,26 @@ def test_pairs_near_the_similarity_are_found(spark):
     assert all(got[i] == root[i] for i in root if root[i] == i)
 
 
+@pytest.mark.parametrize("block", [1000, 12])
+def test_groups_around_a_template_are_exact(spark, block, monkeypatch):
+    from functools import partial
+
+    from tidewright.llm import simhash
+
+    monkeypatch.setattr(simhash, "alike", partial(simhash.alike, block=block, anchors=3))
+    r = random.Random(6)
+    base = ["w%d" % r.randrange(10**6) for _ in range(200)]
+    texts = []
+    for _ in range(90):
+        v = list(base)
+        for _ in range(r.randrange(3, 8)):
+            v[r.randrange(len(v))] = "v%d" % r.randrange(10**6)
+        texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, radius=7, similarity=0.8, planes=4).collect()}
+    assert got == exact_components(texts) and 1 < len(set(got.values())) < 90
+
+
 def test_components(spark):
     from tidewright.llm.components import components
 
