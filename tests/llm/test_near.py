@@ -195,6 +195,16 @@ def test_groups_around_a_template_are_exact(spark, block, monkeypatch):
     assert got == exact_components(texts) and 1 < len(set(got.values())) < 90
 
 
+def test_equal_fingerprints_are_compared(spark):
+    from tidewright.llm.simhash import near_duplicates
+
+    r = random.Random(9)
+    texts = ["x " * 200 + " ".join("w%d" % r.randrange(10**6) for _ in range(60)) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = near_duplicates(df, radius=7, similarity=0.8, planes=4).collect()
+    assert len({x.fp for x in got}) == 1 and sorted((x.doc_id, x.component_id) for x in got) == [(i, i) for i in range(4)]
+
+
 def test_components(spark):
     from tidewright.llm.components import components
 
