@@ -97,6 +97,16 @@ def test_decontaminate(spark, limit):
     assert decontaminate(docs, none).count() == len(TEXTS) and contamination_digest(docs.where("false"), items).count() == 0
 
 
+def test_short_items_in_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [(1, "zebra quantum lattice drips sideways"), (2, "the"), (3, "the answer"), (4, "one two three four five six seven eight nine")]
+    texts = [(1, "we saw: Zebra quantum lattice drips sideways today"), (2, "the cat"), (3, "the answer is no"), (4, "so two three four five six seven eight nine"), (5, "zebra quantum lattice drips"), (6, None), (7, "answer")]
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = corpus_pipeline.benchmark(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), str(tmp_path))
+    assert left.columns == ["doc_id", "text"] and sorted(r.doc_id for r in left.collect()) == [2, 5, 6, 7]
+
+
 def test_licenses(docs, empty, spark):
     from tidewright.llm.license_scan import license_digest, license_scan
 

@@ -72,19 +72,27 @@ def _merge(done: Column, s: Column) -> Column:
     return F.when((size > 0) & (s["at"] <= last["end"]), joined).otherwise(F.concat(done, F.array(s)))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, mode: str = "documents", least_words: int = 0, id_col: str = "doc_id", text_col: str = "text", item_text: str = "text", **more) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, mode: str = "documents", least_words: int = 0, id_col: str = "doc_id", text_col: str = "text", item_text: str = "text", weak_words: int = 0, item_id: str = "item_id", **more) -> DataFrame:
     """``docs`` without contamination, same columns.
 
     ``mode="documents"`` drops documents in which windows of ``min_items`` or
     more items occur; ``mode="spans"`` keeps each document and cuts the hit
     words out of such ones. Items of fewer than ``least_words`` words are left
-    out: a few common words are no sign of a benchmark. Null and empty texts
+    out: a few common words are no sign of a benchmark. Items of fewer than
+    ``weak_words`` words stay in, but count only where another item occurs
+    too, whatever ``min_items`` is. Null and empty texts
     are never hit; rows that repeat an id and text share their fate; an empty
     benchmark drops nothing.
     """
     if least_words:
         items = items.where(F.size(words(text_or_empty(item_text))) >= least_words)
-    found = find_hits(docs, items, n, id_col, text_col, item_text=item_text, **more).where(F.col("n_items") >= min_items).select("_key", "spans")
+    enough = F.col("n_items") >= min_items
+    if weak_words:
+        weak = F.size(words(text_or_empty(item_text))) < weak_words
+        items = items.withColumn(item_id, F.concat(F.when(weak, "w").otherwise("s"), F.coalesce(F.col(item_id).cast("string"), F.lit(""))))
+        strong = F.size(F.filter("items", lambda i: F.startswith(i, F.lit("s"))))
+        enough = (strong >= min_items) | (F.col("n_items") >= max(min_items, 2))
+    found = find_hits(docs, items, n, id_col, text_col, item_id, item_text, **more).where(enough).select("_key", "spans")
     keyed = docs.withColumn("_key", row_key(id_col, text_or_empty(text_col)))
     if mode == "documents":
         return keyed.join(found.select("_key"), "_key", "left_anti").select(*docs.columns)
