@@ -161,3 +161,11 @@ def test_pii(docs, empty, spark):
     texts = [(i, f"customer phone: +1 (743) 555-{3000 + i} thanks") for i in range(30)] + [(100 + i, f"customer phone: 743.555.{4000 + i} thanks") for i in range(3)] + [(200, "order 743.555.9999 shipped")]
     found = {r.doc_id: [(s.kind, s.value) for s in r.found] for r in find_pii(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     assert found[100] == [("phone", "743.555.4000")] and found[200] == [] and found[1] == []
+
+
+def test_pii_goes_beyond_the_first_hop(spark):
+    from tidewright.llm.pii import find_pii
+
+    texts = [f"call phone: +1 202 555 {i:04d}" for i in range(30)] + [f"call phone: ab{i}2345" for i in range(5)] + [f"see ref: ab{i}2345" for i in range(5)] + ["see ref: zz98765", "see other: qq98765"]
+    found = find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {s.value: s.kind for r in found for s in r.found} == {**{f"ab{i}2345": "phone" for i in range(5)}, "zz98765": "phone"}

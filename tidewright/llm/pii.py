@@ -101,8 +101,8 @@ def bootstrap(mentions: DataFrame, rounds: int = 3, min_support: int = 3, min_pa
     around = F.filter(F.array(F.concat(F.lit("<"), "m.left"), F.concat(F.lit(">"), "m.right")), lambda p: F.length(p) > 1)
     seed = F.when(F.col("m.kind") != "token", F.col("m.kind"))
     edges = shared(rows.select(F.col("m.value").alias("value"), seed.alias("seed"), F.explode(around).alias("pattern")).distinct())
-    degree = edges.groupBy("pattern").agg(F.count_distinct("value").alias("degree"), F.max(F.col("seed").isNotNull()).alias("useful")).where((F.col("degree") >= min_support) & F.col("useful")).drop("useful")
-    edges = edges.join(degree, "pattern")  # a pattern without a seed or with few instances never reaches the support
+    degree = edges.groupBy("pattern").agg(F.count_distinct("value").alias("degree")).where(F.col("degree") >= min_support)
+    edges = edges.join(degree, "pattern")  # a pattern with few instances never reaches the support; one without a seed may, from the second round on
     seeds = edges.where("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
     links = shared(edges.select("pattern", "degree", "value", "seed").distinct())
     scores = seeds
