@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import vptree
-from tidewright.llm.common import LOWER, map_batches, shared, text_or_empty
+from tidewright.llm.common import LOWER, map_batches, release, shared, text_or_empty
 from tidewright.llm.components import components
 
 SEED = 42
@@ -130,6 +130,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
         fp = t.column("fp").to_numpy().view(np.uint64)
         home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
         a, b, d = vptree.forest(fp, home, masks[owner[key[0].as_py()]], radius, block_radius)
+        release()
         return pa.table({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64), "distance": d.astype(np.int32)})
 
     spreaded = map_batches(fps.select("fp"), spread, "shard int, fp bigint, home boolean")
@@ -201,7 +202,13 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarit
             held = [np.unique(shingle_hashes(t.as_py(), k)).view(np.int64) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.int64()))], names=["c", "node", "s"])
 
+    seen = [0]
+
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        seen[0] += t.num_rows
+        if seen[0] >= block:  # most groups are small
+            release()
+            seen[0] = 0
         place = {x: i for i, x in enumerate(t.column("node").to_pylist())}  # an anchor, or a node outside, may come twice
         t = t.take(pa.array(sorted(place.values())))
         a, b = jaccard_links(t.column("s").combine_chunks(), t.column("g").to_pylist(), similarity)
