@@ -129,3 +129,27 @@ def test_pipeline(spark, tmp_path):
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(r.doc_id for r in whole.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     assert whole.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+@pytest.mark.parametrize("lane", [16, 256])
+def test_phrases_go_on_through_lanes_and_any_alphabet(monkeypatch, lane):
+    import random
+
+    from tidewright.llm import langid
+
+    monkeypatch.setattr(langid, "LANE", lane)
+    r = random.Random(1)
+    han, hangul = [chr(0x4E00 + i) for i in range(2000)], [chr(0xAC00 + i) for i in range(2000)]
+    samples = {"zh": "".join(r.choice(han) for _ in range(3000)), "ko": "".join(r.choice(hangul) for _ in range(3000)), "en": "the cat sat on the mat and abracadabra " * 3}
+    texts = ["the cat " * 30 + " zz q ", samples["zh"][100:400] + "xx" + samples["zh"][1:90], "abab" * 50 + samples["ko"][5:200]]
+    texts += ["".join(r.choice("abcdrthe mson") for _ in range(r.randrange(300))) for _ in range(40)]
+    parser = langid.Parser(samples)
+    for t, row in zip(texts, parser.counts(texts)):
+        norm = "".join(map(chr, langid.letters(t)))
+        for k, lang in enumerate(parser.languages):
+            s, part, n = "".join(map(chr, langid.letters(samples[lang]))), norm, 0
+            while part:
+                size = next((m for m in range(len(part), 0, -1) if part[:m] in s), 1)
+                n, part = n + 1, part[size:]
+            assert row[k] == (n if any(c.isalpha() for c in norm) else 0)
+    assert [x for x, _ in parser.best([samples["zh"][7:60], samples["ko"][9:90], "the mat"])] == ["zh", "ko", "en"]
