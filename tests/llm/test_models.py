@@ -45,6 +45,43 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted == r.toxic for r in test]) >= 0.95
 
 
+def test_toxicity_recall_and_precision(spark):
+    """Held-out rows of the larger table; about one in twenty of its toxic rows holds only junk, and nothing toxic."""
+    from tidewright.llm.queries import op6_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    rows = op6_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    hit = sum(r.toxic == 1 and r.predicted == 1 for r in rows)
+    assert hit >= 0.9 * sum(r.toxic == 1 for r in rows) and hit >= 0.95 * sum(r.predicted == 1 for r in rows)
+
+
+@pytest.mark.parametrize("chain", [2, 16, 128])
+def test_marginals_run_through_whole_texts(monkeypatch, chain):
+    from tidewright.llm import toxicity
+
+    r = np.random.default_rng(0)
+    sizes = np.array([5, 0, 300, 128, 129, 1, 700])
+    e, move = 2 * r.normal(size=sizes.sum()), r.normal(size=(2, 2))
+    want_p, want_moves = [], np.zeros((2, 2))
+    for n, end in zip(sizes, np.cumsum(sizes)):
+        if n:
+            p, moves, _ = toxicity.marginals(e[None, end - n : end], np.array([n]), move)
+            want_p.append(p[0])
+            want_moves += moves
+    monkeypatch.setattr(toxicity, "CHAIN", chain)
+    p, moves = toxicity.whole_marginals(e, sizes, move)
+    assert np.allclose(p, np.concatenate(want_p)) and np.allclose(moves, want_moves)
+
+
+def test_training_rows_are_bounded_by_bytes(spark):
+    from tidewright.llm.toxicity import training_rows
+
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 3 else 1000)) for i in range(60)] + [(5, "x" * 10)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    rows = training_rows(docs, labels, 40, 200, "doc_id", "text", "toxic").collect()
+    assert max(len(r.t) for r in rows) == 10 and all(sum(len(r.t) for r in rows if r._y == y) == 100 for y in (0, 1))
+
+
 def test_toxicity_edges(spark):
     from tidewright.llm.toxicity import drop_toxic, fit, score, train
 

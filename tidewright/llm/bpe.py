@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewright.llm.common import map_batches, text_or_empty
+from tidewright.llm.common import fresh, map_batches, text_or_empty
 
 #: A space before a character that is no white space starts a new piece under the split pattern, whatever stands around it.
 BREAK = re.compile(r"(?= \S)")
@@ -179,7 +179,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     if unknown := set(columns) - kinds.keys():
         raise ValueError(f"unknown columns: {sorted(unknown)}")
     rest = [c for c in docs.columns if c not in columns]
-    rows = docs.select(*rest, text_or_empty(text_col).alias("__text"))
+    rows = docs.select(*rest, text_or_empty(text_col).alias(fresh(rest, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, pattern, remember)
@@ -203,7 +203,7 @@ def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([f for f in rows.schema.fields if f.name != "__text"])
+    schema = T.StructType(rows.schema.fields[:-1])
     for c in columns:
         schema = schema.add(c, T._parse_datatype_string(kinds[c]))
     return map_batches(rows, run, schema)

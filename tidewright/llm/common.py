@@ -38,6 +38,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(lower_ascii(c), NOT_WORD), lambda w: w != F.lit(""))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores in front as long as it is one of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that all of the cluster shares: ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
     return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")).rstrip("/")

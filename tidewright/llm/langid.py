@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_batches, text_or_empty
+from tidewright.llm.common import fresh, map_batches, text_or_empty
 
 UNKNOWN = "und"
 #: Symbols: 0 stands between words, 1 for any letter that no sample has.
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", l
     """
     held = docs.sparkSession.sparkContext.broadcast(dict(samples))  # max_chars for each language
     rest = [c for c in docs.columns if c not in (lang_col, score_col)]
-    rows = docs.select(*rest, text_or_empty(text_col).alias("__text"))
+    rows = docs.select(*rest, text_or_empty(text_col).alias(fresh(rest, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(tuple(sorted(held.value.items())))
