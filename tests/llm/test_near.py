@@ -95,6 +95,28 @@ def test_links_lose_no_pair(spark, radius, blocks):
     assert found.where((F.col("distance") > radius) | (F.col("distance") < 1)).count() == 0
 
 
+@pytest.mark.parametrize("radius", [1, 3, 5])
+def test_trees_for_two_blocks_lose_no_pair(spark, radius):
+    from tidewright.llm.components import components
+    from tidewright.llm.simhash import links
+
+    r = random.Random(radius)
+    fps = {0, (1 << 64) - 1}
+    for b in [r.getrandbits(64) for _ in range(60)]:
+        for _ in range(12):
+            x = b
+            for _ in range(r.randrange(radius + 3)):
+                x ^= 1 << r.randrange(64)
+            fps.add(x)
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    found = links(spark.createDataFrame(signed, "fp bigint"), radius, 4, shard=64, sample=200, pairs_from=1)
+    got = {x.node & (1 << 64) - 1: x.root for x in components(found.select("a", "b")).collect()}
+    groups = {}
+    for f, g in components_of(fps, radius).items():
+        groups.setdefault(g, set()).add(f)
+    assert all(len({got.get(f, f) for f in g}) == 1 for g in groups.values()) and len({got.get(f, f) for f in fps}) == len(groups)
+
+
 def test_forest_is_minimal():
     r = np.random.default_rng(1)
     fps = np.unique(r.integers(0, 1 << 12, 300, dtype=np.uint64))

@@ -46,9 +46,32 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+    """A join where one key may hold much of ``left``, and has few rows in ``right``.
+
+    The columns ``spread`` deal the rows of a key to ``salts`` parts, which the
+    right side repeats. As neither side is dealt by ``on`` alone, both are
+    exchanged right before the join, so adaptive execution can split a part
+    that is still large.
+    """
+    salt = fresh([*left.columns, *right.columns], "salt")
+    a = left.withColumn(salt, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    b = right.withColumn(salt, F.explode(F.array(*(F.lit(i) for i in range(salts)))))
+    return a.join(b, [*on, salt], how).drop(salt)
+
+
 def scratch(spark: SparkSession) -> str:
-    """The folder that all of the cluster shares: ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scratch-")).rstrip("/")
+    """The folder that all of the cluster shares: ``spark.checkpoint.dir``. Where that is unset a temporary one will do, but only on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or tempfile.mkdtemp(prefix="scratch-")).rstrip("/")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder through Spark's own file system client."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shared(df: DataFrame) -> DataFrame:
@@ -72,6 +95,7 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
         df.sparkSession.conf.set(key, most)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_pool()
         try:
             yield from run(batches)
         finally:
@@ -80,6 +104,11 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(bounded, schema)
 
 
+def own_pool() -> None:
+    """Arrow's memory then comes from the C library, which gives it back on request."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import shared
+from tidewright.llm.common import hot_join, shared
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``; the root is the smallest node that it reaches.
 
     Each half round takes every node's smallest neighbour, a grouped minimum
-    that combines before its shuffle, and joins it back to the links. The
+    that combines before its shuffle, and joins it back to the links, those of
+    a node with many of them in several parts. The
     links never grow, and the rounds are about the logarithm of the longest
     path. Every round ends in a checkpoint, so that lineage stays short and a
     lost executor costs a round at most.
@@ -22,9 +23,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = hot_join(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
+        small = hot_join(large, least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         links = shared(small.distinct())
         now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b") % 1_000_003)).first()
         if now == before:

@@ -8,11 +8,11 @@ from math import ceil, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import vptree
-from tidewright.llm.common import LOWER, map_batches, release, shared, text_or_empty
+from tidewright.llm.common import LOWER, fresh, hot_join, map_batches, own_pool, release, shared, text_or_empty
 from tidewright.llm.components import components
 
 SEED = 42
@@ -85,12 +85,14 @@ def _prints(docs: DataFrame, k: int, id_col: str, text_col: str, planes: int, ba
     return map_batches(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, _h bigint, " + ", ".join(f"{n} bigint" for n in names) + ", node binary, keys array<bigint>")
 
 
-def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000, sample: int = 20_000) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000, sample: int = 20_000, pairs_from: int = 1 << 22) -> DataFrame:
     """``a, b, distance``: a spanning forest, shortest links first, of the pairs of distinct ``fps(fp)`` that differ in at most ``radius`` bits.
 
     A tree for each block, grown on the driver over ``sample`` fingerprints
-    (those of smallest hash; a fixed bound), cuts them into shards of about
-    ``shard``. Every fingerprint goes to the shard that it belongs to and, as a
+    (those of smallest hash) or four for each shard, cuts them into shards of
+    about ``shard``. From ``pairs_from`` fingerprints on, there is a tree for
+    each two of ``radius + 2`` blocks instead: a block of 16 bits alone has too
+    few values to tell so many apart. Every fingerprint goes to the shard that it belongs to and, as a
     query, to those that its ball reaches over a boundary. Each shard is then
     searched exactly with a tree of its own. The sample only balances shards;
     no pair depends on it. The work is that of the trees, blocks *
@@ -98,8 +100,12 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
     than values, whatever the number of its pairs.
     """
     n = fps.count()
+    keep = 1
+    if n >= pairs_from and 2 * 64 // (radius + 2) > 64 // blocks:
+        blocks, keep = radius + 2, 2
+    sample = max(sample, 4 * n // shard)
     picked = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    masks, block_radius = vptree.block_masks(blocks), radius // blocks
+    masks, block_radius = vptree.block_masks(blocks, keep), vptree.block_radius(radius, blocks, keep)
     if not n:
         return fps.sparkSession.createDataFrame([], "a bigint, b bigint, distance int")
     depth = max(0, ceil(log2(max(1, n / shard))))
@@ -127,6 +133,7 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
         return pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.concatenate([fp[index] for _, index, _ in parts]).view(np.int64)), pa.array(np.concatenate([home for _, _, home in parts]))], names=["shard", "fp", "home"])
 
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        own_pool()
         fp = t.column("fp").to_numpy().view(np.uint64)
         home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
         a, b, d = vptree.forest(fp, home, masks[owner[key[0].as_py()]], radius, block_radius)
@@ -164,8 +171,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int =
         pairs = links(first.select(F.col(n).alias("fp")), radius, blocks, **more).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         if sets or planes > 1:
             for end, node in (("_a", "a"), ("_b", "b")):
-                pairs = pairs.join(first.select(F.col(n).alias(end), F.col("rep").alias(node)), end)
-            same = nodes.join(first, n).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+                pairs = hot_join(pairs, first.select(F.col(n).alias(end), F.col("rep").alias(node)), [end], [c for c in pairs.columns if c != end])
+            same = hot_join(nodes.select("node", n), first, [n], ["node"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
             pairs = pairs.select("a", "b").unionByName(same)
         else:
             pairs = pairs.toDF("a", "b")
@@ -173,20 +180,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int =
     if sets:
         each = nodes.select("node", F.explode("keys").alias("key"))
         rep = each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = found.unionByName(each.join(rep, "key").where("node <> a").select("a", F.col("node").alias("b")))
+        found = found.unionByName(hot_join(each, rep, ["key"], ["node"]).where("node <> a").select("a", F.col("node").alias("b")))
         found = alike(shared(found.distinct()), nodes, docs, k, similarity, id_col, text_col)
     root = components(found)
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select("node", "root").join(least, "root").select("node", "component_id")
+    label = hot_join(named.select("node", "root"), least, ["root"], ["node"]).select("node", "component_id")
     return rows.join(label, "node").select(F.col("_id").alias(id_col), F.col("fp0").alias("fp"), "component_id")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str, block: int = 1000, anchors: int = 16) -> DataFrame:
+def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarity: float, id_col: str, text_col: str, block: int = 1000, anchors: int = 16, shingles: int = 500_000) -> DataFrame:
     """``a, b``: links with the components of all pairs of that Jaccard similarity inside each component of ``pairs``.
 
     Every two nodes that ``pairs`` join, by whatever path, count as compared.
-    A component is dealt to blocks of about ``block`` nodes, each with the same
+    A component is dealt to blocks of about ``block`` nodes, or fewer if they
+    have over ``shingles`` shingles together, each with the same
     few ``anchors`` so that a large group of near copies is one at once. Of a
     component of several blocks, the nodes outside its largest group then meet
     all others, block by block.
@@ -205,6 +213,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarit
     seen = [0]
 
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        own_pool()
         seen[0] += t.num_rows
         if seen[0] >= block:  # most groups are small
             release()
@@ -216,30 +225,38 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarit
         return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
     hashed = shared(map_batches(one, sets, f"c {kind}, node {kind}, s array<bigint>"))
-    size = hashed.groupBy("c").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block))
-    dealt = hashed.join(size, "c").withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
+    parts = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.size("s")) / shingles, F.lit(1.0)))
+    size = hashed.groupBy("c").agg(parts().alias("parts"))
+    dealt = hot_join(hashed, size, ["c"], ["node"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
     large = size.where("parts > 1")
     schema = f"a {kind}, b {kind}"
     if large.isEmpty():
         return shared(dealt.select("c", "p", "node", F.col("node").alias("g"), "s").groupBy("c", "p").applyInArrow(solve, schema))
-    heads = hashed.join(large.select("c"), "c").groupBy("c").agg(F.slice(F.array_sort(F.collect_set("node")), 1, anchors).alias("h")).select("c", F.explode("h").alias("node"))
+    heads = _smallest(hot_join(hashed.select("c", "node"), large.select("c"), ["c"], ["node"]), anchors)
     spread = hashed.join(heads, ["c", "node"]).join(large, "c").select("c", "node", "s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
     first = shared(dealt.select("c", "p", "node", "s").unionByName(spread.select("c", "p", "node", "s")).withColumn("g", F.col("node")).groupBy("c", "p").applyInArrow(solve, schema))
-    now = hashed.join(large, "c").join(components(first), "node", "left").select("c", "node", "s", "parts", F.coalesce("root", "node").alias("g"))
+    now = hot_join(hashed, large, ["c"], ["node"]).join(components(first), "node", "left").select("c", "node", "s", "parts", F.coalesce("root", "node").alias("g"))
     now = shared(now)
     groups = now.groupBy("c", "g").agg(F.count(F.lit(1)).alias("m"))
     top = groups.groupBy("c").agg(F.max_by("g", F.struct("m", "g")).alias("top"))
-    minor = now.join(top, "c").where("g <> top")
+    minor = hot_join(now, top, ["c"], ["node"]).where("g <> top")
     if minor.isEmpty():
         return first
-    few = minor.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / block).alias("few"))
-    ours = minor.join(few, "c").withColumn("q", F.pmod(F.xxhash64("node"), F.col("few")))
+    few = minor.groupBy("c").agg(parts().alias("few"))
+    ours = hot_join(minor, few, ["c"], ["node"]).withColumn("q", F.pmod(F.xxhash64("node"), F.col("few")))
     ours = ours.select("c", "node", "s", "g", "q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("p"))
-    all_ = now.join(few, "c").select("c", "node", "s", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("few") - 1)).alias("q"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("p"))
+    all_ = hot_join(now, few, ["c"], ["node"]).select("c", "node", "s", "g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("few") - 1)).alias("q"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("p"))
     second = ours.select("c", "node", "s", "g", "q", "p").unionByName(all_.select("c", "node", "s", "g", "q", "p")).groupBy("c", "q", "p").applyInArrow(solve, schema)
     return shared(first.unionByName(second))
 
 
+def _smallest(rows: DataFrame, n: int) -> DataFrame:
+    """``c, node``: the n smallest nodes of each ``c``; each of 64 parts of a key first gives its own n."""
+    for by in (["c", F.pmod(F.xxhash64("node"), F.lit(64))], ["c"]):
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("node"))).where(F.col("_n") <= n).drop("_n")
+    return rows
+
+
 def jaccard_links(sets: pa.ListArray, groups: list, similarity: float) -> tuple[list[int], list[int]]:
     """Links that join what pairs of that similarity join, beyond what is one group already; rows are sets of distinct numbers.
 
@@ -282,8 +299,9 @@ def jaccard_links(sets: pa.ListArray, groups: list, similarity: float) -> tuple[
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``docs`` with the rows of one id, the smallest, for each component. Rows with a null id stay if their component has no other."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **more)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    name = fresh(docs.columns, "_kept")
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 def simhash_digest(docs: DataFrame, **more) -> DataFrame:

@@ -4,19 +4,29 @@ A fingerprint is cut into ``blocks`` equal blocks. Two that differ in at most
 ``radius`` bits differ in at most ``radius // blocks`` bits in some block, so a
 tree for each block, searched with that smaller radius, loses no pair, and its
 triangle bounds prune far better than bounds on all 64 bits would (random
-fingerprints lie 32 +- 4 bits apart).
+fingerprints lie 32 +- 4 bits apart). Values that are equal in a block can't be
+told apart by its tree, so for many values each choice of two blocks of
+``radius + 2`` has a tree: in one of them the two values are equal.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 
 
-def block_masks(blocks: int) -> list[int]:
+def block_masks(blocks: int, keep: int = 1) -> list[int]:
+    """The bits of each choice of ``keep`` of the blocks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    each = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    return [sum(some) for some in combinations(each, keep)]
+
+
+def block_radius(radius: int, blocks: int, keep: int = 1) -> int:
+    """How many bits two values within ``radius`` differ in, at most, in some choice of blocks: none if that many blocks are sure to be equal."""
+    return 0 if keep <= blocks - radius else radius * keep // blocks
 
 
 #: Links that are looked at together.
