@@ -206,3 +206,52 @@ def test_warc_skips_payloads():
     raw = Counting(rec % (b"response", len(body), body) + rec % (b"revisit", 2, b"ok"))
     rows = list(reader.records(io.BufferedReader(raw, 4096), True))
     assert [r[0] for r in rows] == ["revisit"] and raw.got < 20_000
+
+
+def test_members_are_skipped_packed(spark, tmp_path):
+    """Only the headers of a gzip member are unpacked if a predicate rejects the record, and plain tools read the file."""
+    import gzip
+    import io
+    import random
+
+    from pyspark.sql.datasource import EqualTo
+
+    from tidewright.llm.warc import WarcReader, member
+
+    body = random.Random(1).randbytes(400_000)
+    rec = b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+    parts = [rec % (b"response", len(body), body), rec % (b"revisit", 2, b"ok"), rec % (b"response", len(body), body)]
+    packed = b"".join(map(member, parts))
+    assert gzip.decompress(packed) == b"".join(parts)
+
+    class Counting(io.BytesIO):
+        got = 0
+
+        def readinto(self, b):
+            n = super().readinto(b)
+            self.got += n
+            return n
+
+    reader = WarcReader({})
+    assert not list(reader.pushFilters([EqualTo(("record_type",), "revisit")]))
+    raw = Counting(packed)
+    assert [r[0] for r in reader.members(io.BufferedReader(raw, 4096), True)] == ["revisit"] and raw.got < 40_000
+    assert [r[8] for r in WarcReader({}).members(io.BufferedReader(io.BytesIO(packed), 4096), True)] == [body, None, body]
+    with gzip.open(tmp_path / "foreign.warc.gz", "wb") as f:  # one stream, as other tools write
+        f.write(b"".join(parts))
+    from tidewright.llm.warc import read_warc
+
+    assert [bytes(r.payload or b"") for r in read_warc(spark, f"file://{tmp_path}").collect()] == [body, b"", body]
+
+
+def test_archive_edges(spark, tmp_path):
+    from tidewright.llm.warc import archive_digest, read_warc
+
+    long_ = "é" * 3_000_000
+    rows = [(1, long_, "u", "x"), (2, long_, "u", "x"), (None, "short", None, "x"), (4, None, "u", "x"), (4, None, "u", "x"), (5, "z" * 1000, "u", "x"), (5, "z" * 1000, "u", "x")]
+    df = spark.createDataFrame(rows, "page_id bigint, html string, url string, payload string").selectExpr("*", "1 AS keep", "2 AS bytes", "3 AS sha1", "4 AS same", "5 AS id").repartition(2)
+    got = sorted(archive_digest(df, f"file://{tmp_path}/a", records_per_file=2).collect(), key=repr)
+    sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
+    want = [(1, 6_000_000, sha(long_), "revisit", 2), (2, 6_000_000, sha(long_), "response", None), (None, 5, sha("short"), "response", None), (4, 0, sha(""), "response", None), (4, 0, sha(""), "response", None), (5, 1000, sha("z" * 1000), "response", None), (5, 1000, sha("z" * 1000), "response", None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert read_warc(spark, f"file://{tmp_path}/a", target_bytes=1).rdd.getNumPartitions() >= 4

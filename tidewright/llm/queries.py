@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm.common import scratch, table
+from tidewright.llm.common import drop_folder, scratch, shared, table
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewright.llm.warc import archive_digest
 
-    return archive_digest(table(spark, sf_dir, "pages"), f"{scratch(spark)}/warc-{uuid.uuid4().hex}", compression="gzip")
+    folder = f"{scratch(spark)}/warc-{uuid.uuid4().hex}"
+    said = shared(archive_digest(table(spark, sf_dir, "pages"), folder))
+    drop_folder(spark, folder)  # what was read back is kept, the archives are not
+    return said
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

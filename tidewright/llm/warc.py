@@ -1,64 +1,137 @@
-"""WARC archives: Spark writes them through its own file committer, a Python data source reads them."""
+"""WARC archives: a Python data source writes them, a gzip member for each record, and reads them back without what is not asked for."""
 
 from __future__ import annotations
 
 import gzip
 import io
 import json
+import struct
+import uuid
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 
+from tidewright.llm.common import drop_folder, hot_join
+
+MANIFEST = "manifest.json"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
-#: Ends a record; as the separator of Spark's text writer it makes each row one record.
+#: Ends a record.
 END = CRLF * 2
+#: A gzip member's header with the field "sl": the lengths of the member and of what it holds, so that a reader can skip it.
+MEMBER = struct.Struct("<2sBBIBBHBBHII")
 
 
-def archive_plan(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """``pages`` with ``_payload, _bytes, _sha1, _keep``: the page that a payload's response record belongs to.
+def archive_plan(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+    """``id, url, payload, bytes, sha1, keep`` of each page; ``keep`` is the page that the payload's response record belongs to.
 
     Of equal payloads of ``min_bytes`` or more, the one with the largest id is
     the response. Payloads are compared by length, SHA-1 and SHA-256 together,
     as SHA-1 alone has known collisions. Short payloads are all responses.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    rows = pages.withColumn("_payload", payload).withColumn("_bytes", F.octet_length("_payload").cast("bigint")).withColumn("_sha1", F.sha1("_payload"))
-    rows = rows.withColumn("_same", F.when(F.col("_bytes") >= min_bytes, F.concat("_sha1", F.sha2("_payload", 256))))
-    keep = rows.where("_same is not null").groupBy("_same").agg(F.max(id_col).alias("_keep"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(keep, "_same", "left").drop("_same")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("bytes", F.octet_length("payload").cast("bigint")).withColumn("sha1", F.sha1("payload"))
+    rows = rows.withColumn("same", F.when(F.col("bytes") >= min_bytes, F.concat("sha1", F.sha2("payload", 256))))
+    keep = rows.where("same is not null").groupBy("same").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return hot_join(rows, keep, ["same"], ["id"], "left").drop("same")
 
 
-def record(id_col: str = "page_id", url_col: str = "url") -> Column:
-    """A WARC/1.1 record without its end: WARC headers, then an HTTP response whose body a revisit leaves out."""
+def record() -> Column:
+    """A WARC/1.1 record of a row of :func:`archive_plan`, without its end: WARC headers, then an HTTP response whose body a revisit leaves out."""
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    revisit = F.col("_keep").isNotNull() & ~F.col("_keep").eqNullSafe(F.col(id_col))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("_bytes").cast("string"), F.lit(END))
-    block = F.when(revisit, http).otherwise(F.concat(http, "_payload"))
-    uri = F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", "")
+    revisit = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("id"))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(END))
+    block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
+    uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit(f"{CRLF}WARC-Record-ID: "), urn(F.coalesce(F.col(id_col).cast("string"), F.lit(""))),
+        F.lit(f"{CRLF}WARC-Record-ID: "), urn(F.coalesce(F.col("id").cast("string"), F.lit(""))),
         F.lit(f"{CRLF}WARC-Target-URI: "), uri,
-        F.lit(f"{CRLF}WARC-Date: 1970-01-01T00:00:00Z{CRLF}WARC-Payload-Digest: sha1:"), F.col("_sha1"),
-        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {REVISIT_PROFILE}{CRLF}WARC-Refers-To: "), urn(F.col("_keep")))).otherwise(""),
+        F.lit(f"{CRLF}WARC-Date: 1970-01-01T00:00:00Z{CRLF}WARC-Payload-Digest: sha1:"), F.col("sha1"),
+        F.when(revisit, F.concat(F.lit(f"{CRLF}WARC-Profile: {REVISIT_PROFILE}{CRLF}WARC-Refers-To: "), urn(F.col("keep")))).otherwise(""),
         F.lit(f"{CRLF}Content-Type: application/http; msgtype=response{CRLF}Content-Length: "), F.octet_length(block).cast("string"),
     )
     return F.concat(head, F.lit(END), block)
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "none", records_per_file: int = 50_000) -> None:
-    """One record per row of ``pages`` into files under ``path``, on any file system that Spark writes.
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", compression: str = "gzip", records_per_file: int = 10_000) -> None:
+    """One record per row of ``pages`` into files under ``path``, which is replaced; ``compression`` is "gzip" or "none".
 
-    Spark's committer publishes a file only when its task is done, so a lost
-    executor leaves no half archive. Null payloads and URLs are empty; a null
-    id gives a record without one; repeated ids stay separate records; an
-    empty table leaves a folder without records.
+    Other columns are left out. Each task writes files under names of its own,
+    and the driver publishes those of the tasks that ended as a manifest, which
+    readers go by: a lost executor leaves no half archive. Null payloads and
+    URLs are empty; a null id gives a record without one; repeated ids stay
+    separate records; an empty table leaves a manifest without files.
     """
-    plan = archive_plan(pages, min_bytes, id_col, payload_col)
-    plan.select(record(id_col, url_col).alias("value")).write.mode("overwrite").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
+    spark = pages.sparkSession
+    spark.dataSource.register(WarcSource)
+    drop_folder(spark, path)
+    plan = archive_plan(pages, min_bytes, id_col, url_col, payload_col).select(record().cast("binary").alias("value"))
+    plan.write.format("warc").mode("append").option("compression", compression).option("records_per_file", records_per_file).save(path)
+
+
+def member(data: bytes, level: int = 6) -> bytes:
+    """The bytes as one gzip member that tells its length."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    return MEMBER.pack(b"\x1f\x8b", 8, 4, 0, 0, 255, 12, *b"sl", 8, MEMBER.size + len(body) + 8, len(data) & 0xFFFFFFFF) + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    files: list[tuple[str, int]]
+
+
+class WarcWriter(DataSourceArrowWriter):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(_uri(self.options["path"]))
+        gz, most = self.options.get("compression", "gzip") == "gzip", int(self.options.get("records_per_file", 10_000))
+        store.create_dir(folder, recursive=True)
+        files, out, held = [], None, 0
+        for b in batches:
+            for value in b.column(0):
+                if out is None:
+                    name, held, size = f"{uuid.uuid4().hex}.warc{'.gz' if gz else ''}", 0, 0
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
+                data = value.as_py() + END.encode()
+                data = member(data) if gz else data
+                out.write(data)
+                held, size = held + 1, size + len(data)
+                if held >= most:
+                    out.close()
+                    files.append((name, size))
+                    out = None
+        if out is not None:
+            out.close()
+            files.append((name, size))
+        return Written(files)
+
+    def commit(self, messages: list) -> None:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(_uri(self.options["path"]))
+        store.create_dir(folder, recursive=True)
+        with store.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+            for name, size in (f for m in messages if m is not None for f in m.files):
+                out.write(json.dumps([name, size]).encode() + b"\n")
+
+    def abort(self, messages: list) -> None:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(_uri(self.options["path"]))
+        for name, _ in (f for m in messages if m is not None for f in m.files):
+            store.delete_file(f"{folder}/{name}")
 
 
 class _File(InputPartition):
@@ -71,11 +144,16 @@ class WarcSource(DataSource):
 
     Option ``target_bytes`` (128 MB) says how much a partition takes; a file
     is never split, so writers bound their files. Filters on ``record_type``,
-    and on any of the header columns, decide from the parsed headers; the
-    payload of a record that they reject is skipped unread. ``payload=false``
-    skips all payloads.
+    and on any of the header columns, decide from the parsed headers. The
+    payload of a record that they reject is skipped: unread in a plain file
+    and where gzip members tell their length, as those written here do; in
+    other compressed files it is read on but not kept. ``payload=false`` skips
+    all payloads.
     """
 
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        return WarcWriter(dict(self.options))
+
     @classmethod
     def name(cls) -> str:
         return "warc"
@@ -144,29 +222,87 @@ class WarcReader(DataSourceReader):
         for path in partition.paths:
             store, inner = fs.FileSystem.from_uri(_uri(path))
             with store.open_input_file(inner) as raw:
-                stream = raw if not path.endswith(".gz") else gzip.GzipFile(fileobj=io.BufferedReader(_Raw(raw)))
-                yield from self.records(io.BufferedReader(_Raw(stream), 1 << 18), keep)
+                f = io.BufferedReader(_Raw(raw), 1 << 16)
+                if not path.endswith(".gz"):
+                    yield from self.records(f, keep)
+                elif _member_length(f.peek(MEMBER.size)):
+                    yield from self.members(f, keep)
+                else:
+                    yield from self.records(io.BufferedReader(_Raw(gzip.GzipFile(fileobj=f)), 1 << 18), keep)
+
+    def members(self, f: io.BufferedReader, keep: bool) -> Iterator[tuple]:
+        """Records that are gzip members with lengths: of one that isn't wanted only the headers are unpacked."""
+        at = 0
+        while head := f.read(MEMBER.size):
+            length = _member_length(head)
+            if not length:
+                raise ValueError("not a gzip member with its length")
+            row, _ = self.record(io.BufferedReader(_Member(f, length - MEMBER.size - 8), 1 << 12), keep)
+            if row is not None:
+                yield row
+            at += length
+            f.seek(at)
 
     def records(self, f: io.BufferedReader, keep: bool) -> Iterator[tuple]:
-        while line := f.readline():
-            if not line.strip():
-                continue
-            if not line.startswith(b"WARC/"):
-                raise ValueError(f"not a WARC record: {line[:60]!r}")
-            headers = _headers(f)
-            length, wanted = int(headers["content-length"]), self.wanted(headers)
-            http, body, used = None, None, 0
-            if wanted and headers.get("content-type", "").startswith("application/http"):
-                start = f.readline()
-                inner, read = _headers(f, count=True)
-                used = len(start) + read
-                http = int(inner["content-length"]) if inner.get("content-length", "").isdigit() else None
-            if wanted and keep and headers.get("warc-type") != "revisit":
-                body = f.read(length - used)
-                used = length
-            _skip(f, length - used)
-            if wanted:
-                yield (*(headers.get(h) for h in HEADER.values()), http, headers, body)
+        while (got := self.record(f, keep)) is not None:
+            row, rest = got
+            _skip(f, rest)
+            if row is not None:
+                yield row
+
+    def record(self, f: io.BufferedReader, keep: bool) -> tuple[tuple | None, int] | None:
+        """The next record, or None for one that isn't wanted, and how many of its bytes are left; None at the end."""
+        while (line := f.readline()) and not line.strip():
+            pass
+        if not line:
+            return None
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record: {line[:60]!r}")
+        headers = _headers(f)
+        length = int(headers["content-length"])
+        if not self.wanted(headers):
+            return None, length
+        http, body, used = None, None, 0
+        if headers.get("content-type", "").startswith("application/http"):
+            start = f.readline()
+            inner, read = _headers(f, count=True)
+            used = len(start) + read
+            http = int(inner["content-length"]) if inner.get("content-length", "").isdigit() else None
+        if keep and headers.get("warc-type") != "revisit":
+            body = f.read(length - used)
+            used = length
+        return (*(headers.get(h) for h in HEADER.values()), http, headers, body), length - used
+
+
+def _member_length(head: bytes) -> int:
+    """The length of the gzip member that starts so, if it tells it, else 0."""
+    if len(head) < MEMBER.size:
+        return 0
+    magic, _, flags, _, _, _, extra, s, l, n, length, _ = MEMBER.unpack(head[: MEMBER.size])
+    return length if magic == b"\x1f\x8b" and flags == 4 and (extra, s, l, n) == (12, *b"sl", 8) else 0
+
+
+class _Member(io.RawIOBase):
+    """Unpacks raw deflate data of so many bytes, no more than is read."""
+
+    def __init__(self, f: io.BufferedReader, length: int):
+        self.f, self.left, self.unpacker = f, length, zlib.decompressobj(-15)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, b) -> int:
+        data = b""
+        while not data and not self.unpacker.eof:
+            packed = self.unpacker.unconsumed_tail
+            if not packed:
+                packed = self.f.read(min(self.left, 1 << 12))
+                self.left -= len(packed)
+                if not packed:
+                    raise EOFError("a gzip member ends too early")
+            data = self.unpacker.decompress(packed, len(b))
+        b[: len(data)] = data
+        return len(data)
 
 
 def _uri(path: str) -> str:
@@ -218,10 +354,14 @@ class _Raw(io.RawIOBase):
 
 
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """Files under a path, through Spark's own file system client."""
+    """Files under a path, through Spark's own file system client: those of the manifest, if it has one."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
-    it = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, True)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(jvm.org.apache.hadoop.fs.Path(folder, MANIFEST)):
+        listed = (json.loads(r.value) for r in spark.read.text(f"{path.rstrip('/')}/{MANIFEST}").collect())
+        return sorted((jvm.org.apache.hadoop.fs.Path(folder, name).toString(), size) for name, size in listed)
+    it = store.listFiles(folder, True)
     out = []
     while it.hasNext():
         f = it.next()
@@ -231,27 +371,32 @@ def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The records under a path; see :class:`WarcSource`. Filters on the result are pushed into the reader."""
+    """The records under a path; see :class:`WarcSource`. Filters on the result are pushed into the reader.
+
+    Without ``target_bytes`` a partition takes 64 MB at most, and less where
+    the files would not keep all cores busy.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format("warc").options(files=json.dumps(list_files(spark, path)), **{k: str(v) for k, v in options.items()}).load()
+    files = list_files(spark, path)
+    share = sum(n for _, n in files) // spark.sparkContext.defaultParallelism
+    options = {"target_bytes": min(64 << 20, max(1 << 20, share)), **options}
+    return spark.read.format("warc").options(files=json.dumps(files), **{k: str(v) for k, v in options.items()}).load()
 
 
 def archive_digest(pages: DataFrame, path: str, **more) -> DataFrame:
-    """Writes the pages under ``path``, reads the archives back and returns what they say of each page.
+    """Writes the pages under ``path``, reads the archives back and returns what they say of each page: a row for each, repeated ones too.
 
-    Response payloads are hashed and measured as read; a revisit has no
-    payload of its own, so its digest comes from its WARC header and its
-    length from the HTTP header that it keeps.
+    Responses are read whole, their payloads hashed and measured as read. Of
+    revisits, asked for by record type and without payloads, the digest comes
+    from the WARC header and the length from the HTTP header that they keep;
+    no payload is unpacked for them. Null payloads are empty, a null id stays
+    null, an empty table gives no rows.
     """
     write_warc(pages, path, **more)
-    back = read_warc(pages.sparkSession, path)
+    spark = pages.sparkSession
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("bigint")
-    own = F.col("payload").isNotNull()
-    return back.select(
-        number("record_id").alias("page_id"),
-        F.when(own, F.octet_length("payload")).otherwise(F.col("http_length")).cast("bigint").alias("payload_bytes"),
-        F.when(own, F.sha1("payload")).otherwise(F.regexp_replace("payload_digest", "^sha1:", "")).alias("payload_digest"),
-        "record_type",
-        number("refers_to").alias("refers_to"),
-    )
+    said = lambda df, size, digest: df.select(number("record_id").alias("page_id"), size.cast("bigint").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    responses = read_warc(spark, path).where("record_type = 'response'")
+    revisits = read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return said(responses, F.octet_length("payload"), F.sha1("payload")).unionByName(said(revisits, F.col("http_length"), F.regexp_replace("payload_digest", "^sha1:", "")))
