@@ -87,6 +87,11 @@ def test_decontaminate(spark, limit):
     want = contamination(TEXTS, ITEMS)
     got = {r.doc_id: tuple(r)[1:] for r in contamination_digest(docs, items, broadcast_windows=limit).collect()}
     assert got == {d: v for (d, _), v in want.items()}
+    assert contamination_digest(docs, items, broadcast_windows=limit).count() == len(TEXTS)  # repeated rows stay rows
+    clash = docs.selectExpr("*", "'k' AS _key", "'s' AS _spans", "'c' AS copies")
+    for mode in ("documents", "spans"):
+        kept = decontaminate(clash, items, min_items=1, mode=mode, broadcast_windows=limit)
+        assert kept.columns == clash.columns and {(r._key, r._spans, r.copies) for r in kept.collect()} == {("k", "s", "c")}
     left = decontaminate(docs, items, min_items=2, broadcast_windows=limit)
     assert left.columns == docs.columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, t in TEXTS if not want[d, t][4])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import row_key, text_or_empty, words
+from tidewright.llm.common import fresh, row_key, shared, text_or_empty, words
 
 
 def _grams(ws: Column, n: int | Column) -> Column:
@@ -28,48 +28,62 @@ def benchmark_windows(items: DataFrame, n: int = 8, id_col: str = "item_id", tex
     return each.select("item", F.col("g.n").alias("n"), F.col("g.h").alias("h"), gram.alias("gram")).groupBy("n", "h", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = 1_000_000) -> DataFrame:
-    """``_key, id_col, n_words, n_hit, n_items, items, spans`` for each distinct (id, text) of ``docs``.
+def find_hits(docs: DataFrame, items: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = 1_000_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """``_key, id_col, copies, n_words, n_hit, n_items, items, spans`` for each distinct (id, text) of ``docs``; ``copies`` counts its rows.
 
     ``n_hit`` counts words inside any occurrence of a window, ``items`` has the
     ids with occurring windows sorted as strings, and ``spans`` the hit word
-    ranges (start, end exclusive), merged and in order.
-
-    The windows of the benchmark are counted first: up to ``broadcast_windows``
-    distinct ones they are a broadcast hash table; beyond that the same join
-    shuffles on the hash. A hit of the hash is verified word by word. Each
-    document also emits one row without a hash, so that one pass keeps
-    documents without hits, and the rows of a document are combined in the
-    task that made them.
+    ranges (start, end exclusive), merged and in order. Null and empty texts
+    have no words and no hits. Without items, or without documents, nothing is
+    hit.
+
+    The windows of the benchmark are counted first. Up to
+    ``broadcast_windows`` of them (each counts for every item that holds it)
+    and ``broadcast_bytes`` of text they are a broadcast hash table, and the
+    rows of a document are combined in the task that made them; each document
+    also emits one row without a hash, so that one pass keeps documents
+    without hits. Beyond that hashes and places alone are shuffled to the
+    windows, and the few that meet one go back to their document's words. In
+    either form a hit of the hash is verified word by word.
     """
-    windows = benchmark_windows(items, n, item_id, item_text)
+    windows = shared(benchmark_windows(items, n, item_id, item_text))
+    bound = windows.agg(F.sum(F.size("items")).alias("n"), F.sum(F.octet_length(F.array_join("gram", " "))).alias("bytes")).first()
     lengths = sorted(r[0] for r in windows.select("n").distinct().collect())  # n values at most
-    count = windows.count()
     table = windows.select(F.col("n").alias("w_n"), F.col("h").alias("w_h"), "gram", "items")
-    if count <= broadcast_windows:
-        table = F.broadcast(table)
     base = docs.select(row_key(id_col, text_or_empty(text_col)).alias("_key"), F.col(id_col).alias("_id"), words(text_or_empty(text_col)).alias("ws"))
-    own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("h")))
-    scan = base.select("_key", "_id", "ws", F.explode(F.concat(own, *(_grams(F.col("ws"), k) for k in lengths))).alias("g"))
-    same = (F.col("g.h") == F.col("w_h")) & (F.col("g.n") == F.col("w_n")) & (F.slice("ws", F.greatest(F.col("g.at") + 1, F.lit(1)), F.col("g.n")) == F.col("gram"))
-    met = scan.join(table, same, "left").where(F.col("gram").isNotNull() | (F.col("g.at") < 0))
-    hit = F.col("gram").isNotNull()
-    rows = met.groupBy("_key").agg(
-        F.first("_id").alias(id_col),
-        F.max(F.when(F.col("g.at") < 0, F.size("ws"))).cast("bigint").alias("n_words"),
-        F.collect_set(F.when(hit, F.struct(F.col("g.at").alias("at"), (F.col("g.at") + F.col("g.n")).alias("end")))).alias("_at"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
-    merged = F.aggregate(F.array_sort("_at"), F.array().cast("array<struct<at:int,end:int>>"), _merge)
-    return rows.withColumn("spans", merged).select("_key", id_col, "n_words", F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + (s["end"] - s["at"])).alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "spans")
-
-
-def _merge(done: Column, s: Column) -> Column:
-    """Adds a range to merged ranges; ranges come in order of their starts."""
-    size = F.size(done)
-    last = F.try_element_at(done, F.lit(-1))
-    joined = F.concat(F.slice(done, 1, F.greatest(size - 1, F.lit(0))), F.array(F.struct(last["at"].alias("at"), F.greatest(last["end"], s["end"]).alias("end"))))
-    return F.when((size > 0) & (s["at"] <= last["end"]), joined).otherwise(F.concat(done, F.array(s)))
+    grams = [_grams(F.col("ws"), k) for k in lengths]
+    kind = "array<struct<at:int,end:int>>"
+    if (bound["n"] or 0) <= broadcast_windows and (bound["bytes"] or 0) <= broadcast_bytes:
+        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("h")))
+        scan = base.select("_key", "_id", "ws", F.explode(F.concat(own, *grams)).alias("g"))
+        same = (F.col("g.h") == F.col("w_h")) & (F.col("g.n") == F.col("w_n")) & (F.slice("ws", F.greatest(F.col("g.at") + 1, F.lit(1)), F.col("g.n")) == F.col("gram"))
+        met = scan.join(F.broadcast(table), same, "left").where(F.col("gram").isNotNull() | (F.col("g.at") < 0))
+        hit = F.col("gram").isNotNull()
+        rows = met.groupBy("_key").agg(
+            F.first("_id").alias(id_col),
+            F.sum(F.when(~hit, 1)).alias("copies"),
+            F.max(F.when(~hit, F.size("ws"))).cast("bigint").alias("n_words"),
+            F.collect_set(F.when(hit, F.struct(F.col("g.at").alias("at"), (F.col("g.at") + F.col("g.n")).alias("end")))).alias("_at"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        )
+    else:
+        scan = base.select("_key", F.explode(F.concat(*grams)).alias("g")).select("_key", "g.at", "g.n", "g.h")
+        met = scan.join(table, (F.col("h") == F.col("w_h")) & (F.col("n") == F.col("w_n")))
+        each = met.groupBy("_key").agg(F.collect_set(F.struct("at", "n", "gram", "items")).alias("met"))
+        once = base.groupBy("_key").agg(F.first("_id").alias(id_col), F.count(F.lit(1)).alias("copies"), F.first("ws").alias("ws"))
+        true = F.filter("met", lambda m: F.slice("ws", m["at"] + 1, m["n"]) == m["gram"])
+        rows = once.join(each, "_key", "left").withColumn("met", true).select(
+            "_key", id_col, "copies", F.size("ws").cast("bigint").alias("n_words"),
+            F.coalesce(F.transform("met", lambda m: F.struct(m["at"].alias("at"), (m["at"] + m["n"]).alias("end"))), F.array().cast(kind)).alias("_at"),
+            F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("met", lambda m: m["items"])))), F.array().cast("array<string>")).alias("items"),
+        )
+    # Hit words in order; a span starts where the word before is none and ends where the next is none.
+    hits = F.array_sort(F.array_distinct(F.flatten(F.transform("_at", lambda x: F.sequence(x["at"], x["end"] - 1)))))
+    at = lambda i: F.get("_hits", i)
+    starts = F.filter("_hits", lambda w, i: (i == 0) | (at(i - 1) != w - 1))
+    ends = F.filter("_hits", lambda w, i: (i == F.size("_hits") - 1) | (at(i + 1) != w + 1))
+    spans = F.zip_with(starts, ends, lambda x, y: F.struct(x.alias("at"), (y + 1).alias("end")))
+    return rows.withColumn("_hits", hits).select("_key", id_col, "copies", "n_words", F.size("_hits").cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", spans.alias("spans"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int = 2, mode: str = "documents", least_words: int = 0, id_col: str = "doc_id", text_col: str = "text", item_text: str = "text", weak_words: int = 0, item_id: str = "item_id", **more) -> DataFrame:
@@ -92,13 +106,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = 8, min_items: int
         items = items.withColumn(item_id, F.concat(F.when(weak, "w").otherwise("s"), F.coalesce(F.col(item_id).cast("string"), F.lit(""))))
         strong = F.size(F.filter("items", lambda i: F.startswith(i, F.lit("s"))))
         enough = (strong >= min_items) | (F.col("n_items") >= max(min_items, 2))
-    found = find_hits(docs, items, n, id_col, text_col, item_id, item_text, **more).where(enough).select("_key", "spans")
-    keyed = docs.withColumn("_key", row_key(id_col, text_or_empty(text_col)))
+    key, spans = fresh(docs.columns, "_key"), fresh(docs.columns, "_spans")
+    found = find_hits(docs, items, n, id_col, text_col, item_id, item_text, **more).where(enough).select(F.col("_key").alias(key), F.col("spans").alias(spans))
+    keyed = docs.withColumn(key, row_key(id_col, text_or_empty(text_col)))
     if mode == "documents":
-        return keyed.join(found.select("_key"), "_key", "left_anti").select(*docs.columns)
+        return keyed.join(found.select(key), key, "left_anti").select(*docs.columns)
     if mode != "spans":
         raise ValueError(mode)
-    cut = keyed.join(found, "_key", "left").withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("spans"))))
+    cut = keyed.join(found, key, "left").withColumn(text_col, F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col(spans))))
     return cut.select(*docs.columns)
 
 
@@ -113,6 +128,6 @@ def _without(text: Column, spans: Column) -> Column:
 
 
 def contamination_digest(docs: DataFrame, items: DataFrame, **more) -> DataFrame:
-    """The digest columns of the report: one row per document."""
-    found = find_hits(docs, items, **more)
+    """The digest columns of the report: one row per row of ``docs``, repeated ones too. Null and empty texts have no words; a null id stays null."""
+    found = find_hits(docs, items, **more).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated"))
