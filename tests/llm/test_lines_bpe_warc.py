@@ -106,9 +106,10 @@ def test_whole_runs(spark):
         docs.append((i, "\n".join(own)))
     pair = [passage(r, 30) for _ in range(2)]
     docs += [(100 + i, "\n".join([passage(r, 8), *pair, passage(r, 8)])) for i in range(20)]
-    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "'k' AS _key", "'g' AS _gone", "'t' AS _t", "'n' AS _r_n_lines").repartition(3)
     want, source = brute_runs(docs), dict(docs)
     for row in line_dedup(df, whole=True).collect():
+        assert row[2:] == ("k", "g", "t", "n")
         assert (row.text or "") == want[row.doc_id, source[row.doc_id] or ""]
     left = "\n".join(x.text or "" for x in line_dedup(df, whole=True).collect()).split("\n")
     assert [left.count(x) for x in pair + block] == [1] * 14

@@ -46,7 +46,7 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = 8) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], how: str = "inner", salts: int = 2) -> DataFrame:
     """A join where one key may hold much of ``left``, and has few rows in ``right``.
 
     The columns ``spread`` deal the rows of a key to ``salts`` parts, which the

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import map_batches, row_key, shared, text_or_empty
+from tidewright.llm.common import fresh, map_batches, row_key, shared, text_or_empty
 
 BASE, MODULUS = 1_000_003, (1 << 61) - 1
 
@@ -169,7 +169,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     make ``min_words`` words or more, which short stock lines alone don't.
     Rows stay, with the rest of their lines, even where nothing is left of
     the text. A text without removals is unchanged; a null stays null and
-    counts as empty. Rows that repeat an id with an equal text are one
+    counts as empty; an empty table gives no rows. Columns named as those of
+    the report are replaced by it. Rows that repeat an id with an equal text are one
     document. A null id counts as the smallest.
 
     Chunks are grouped by a 128-bit hash *and* their bytes, combined before
@@ -188,7 +189,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"))
 
     gone = _whole_gone(source, kind, min_words) if whole else _chunks_gone(source, kind, divisor, window, long_words)
-    extra = [f"_r_{c}" for c in ("n_lines", "n_chunks", "n_removed", "removed_words")]
+    told_names = ("n_lines", "n_chunks", "n_removed", "removed_words")
+    extra = [fresh(docs.columns, f"_r_{c}") for c in told_names]
+    key_name, gone_name, text_name = (fresh(docs.columns, c) for c in ("_key", "_gone", "_t"))
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -208,21 +211,22 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 for c, x in zip(told, (sum(len(a) for a, _ in parts), len(parts), len(drop), sum(parts[i][1] for i in drop))):
                     c.append(x)
             kept = b.columns[: b.num_columns - 2]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in told)], names=[*rest, "_t", *extra])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), *(pa.array(c, pa.int64()) for c in told)], names=[*rest, text_name, *extra])
 
     rest = [c for c in docs.columns if c != text_col]
-    joined = docs.withColumn("_key", key).join(gone, "_key", "left").select(*rest, F.col(text_col).cast("string").alias("_t"), "_gone")
+    gone = gone.select(F.col("_key").alias(key_name), F.col("_gone").alias(gone_name))
+    joined = docs.withColumn(key_name, key).join(gone, key_name, "left").select(*rest, F.col(text_col).cast("string").alias(text_name), gone_name)
     from pyspark.sql import types as T
 
     schema = T.StructType([*joined.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in extra)])
-    made = map_batches(joined, rebuild, schema).withColumnRenamed("_t", text_col)
+    made = map_batches(joined, rebuild, schema).withColumnRenamed(text_name, text_col)
     if count_col is not None:
         made = made.withColumn(count_col, F.when(F.col(extra[2]) > 0, F.length(text_col).cast(docs.schema[count_col].dataType)).otherwise(F.col(count_col)))
-    told = [F.col(c).alias(c[3:]) for c in extra] if report else []
-    return made.select(*docs.columns, *told)
+    told = [F.col(c).alias(name) for c, name in zip(extra, told_names)] if report else []
+    return made.select(*(c for c in docs.columns if not report or c not in told_names), *told)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: what was cut, and the hash of what is left."""
+    """One row per row of ``docs``: what was cut, and the hash of what is left. Null and empty texts have one line without words, and an empty rest."""
     done = line_dedup(docs.select("doc_id", "text"), report=True, whole=True)
     return done.select("doc_id", "n_lines", "n_chunks", "n_removed", "removed_words", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

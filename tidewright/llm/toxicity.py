@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WORDS, fresh, map_batches, text_or_empty
+from tidewright.llm.common import WORDS, fresh, map_batches, release, text_or_empty
 from tidewright.llm.langid import held_out
 
 #: Tokens that are taken in lockstep; weights are carried from one run of them to the next.
@@ -215,23 +215,14 @@ def token_labels(texts: list[list[bytes]], toxic: np.ndarray, least_share: float
     n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n1 or not n0:
         return set()
-    number: dict[bytes, int] = {}
-    doc, unit, times = [], [], []
-    for d, t in enumerate(texts):
-        held: Counter = Counter()
-        for w, c in Counter(t).items():
-            for u in units(w):
-                held[u] += c
-        doc.extend([d] * len(held))
-        unit.extend(number.setdefault(u, len(number)) for u in held)
-        times.extend(held.values())
-    doc, unit, x = np.array(doc, np.int64), np.array(unit, np.int64), np.log1p(np.array(times, float))
-    y, names, cost = toxic.astype(float), list(number), log(len(number) + 1)
+    doc, unit, times, names = unit_counts(texts)
+    x, y, cost = np.log1p(times), toxic.astype(float), log(len(names) + 1)
     c1 = np.bincount(unit, y[doc], len(names))
     c0 = np.bincount(unit, minlength=len(names)) - c1
     total = np.bincount(unit, times, len(names))
     gain = _split_gain(c1, c0, n1, n0)
     open_ = (gain >= 0.4 * cost) & (c1 * n0 > c0 * n1)
+    number = {u: i for i, u in enumerate(names)}
     for i in np.nonzero(open_)[0].tolist():  # a stem whose occurrences are those of a longer unit
         u = names[i]
         word = u[:-1] if u.endswith(b"*") else u
@@ -272,6 +263,26 @@ def token_labels(texts: list[list[bytes]], toxic: np.ndarray, least_share: float
     return out
 
 
+def unit_counts(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(text, unit, times) for each unit of each text, and the units."""
+    word_id: dict[bytes, int] = {}
+    number: dict[bytes, int] = {}
+    sizes = [len(t) for t in texts]
+    flat = np.fromiter((word_id.setdefault(w, len(word_id)) for t in texts for w in t), np.int64, sum(sizes))
+    at, count = np.unique(np.repeat(np.arange(len(texts)), sizes) * max(1, len(word_id)) + flat, return_counts=True)
+    of = np.full((len(word_id) + 1, 1 + len(STEMS)), -1, np.int64)
+    for w, i in word_id.items():
+        ids = [number.setdefault(u, len(number)) for u in units(w)]
+        of[i, : len(ids)] = ids
+    doc, word = np.divmod(at, max(1, len(word_id)))
+    each = of[word]
+    held = each >= 0
+    keys, place = np.unique((doc[:, None] * max(1, len(number)) + each)[held], return_inverse=True)
+    times = np.bincount(place, np.broadcast_to(count[:, None], each.shape)[held], len(keys))
+    doc, unit = np.divmod(keys, max(1, len(number)))
+    return doc, unit, times, list(number)
+
+
 def _split_gain(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
     """Log-likelihood that a split of the texts by a unit gains; the unit is in c1 toxic and c0 plain texts."""
     part = lambda a, n: a * np.log(np.maximum(a, 1e-9) / np.maximum(n, 1e-9))
@@ -305,7 +316,8 @@ def document_features(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def train(texts: list[str], toxic: np.ndarray, steps: int = 45, rate: float = 0.3, decay: float = 1e-4, context_decay: float = 0.03, least_df: int = 3) -> Model:
     """Fits the field to token labels by Adam on its log-likelihood, then the document layer by Newton's method."""
-    ws = [tokens(t) for t in texts]
+    one: dict[bytes, bytes] = {}  # a word is held once, however often it stands
+    ws = [[one.setdefault(w, w) for w in tokens(t)] for t in texts]
     bad = token_labels(ws, toxic)
     df = Counter(w for t in ws for w in set(t))
     stem_df = Counter(u for t in ws for u in {w[:n] for w in set(t) for n in STEMS if len(w) > n})
@@ -384,7 +396,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, max_bytes:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_bytes: int = 64 << 20, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model of at most ``max_rows`` labelled rows of ``max_bytes`` together, half of either class."""
     rows = sorted({(r["_id"], r["t"], r["_y"]) for r in training_rows(docs, labels, max_rows, max_bytes, id_col, text_col, label_col).collect()})
-    return train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
+    model = train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
+    del rows
+    release()  # the driver lives on
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, names: tuple[str, str, str] = ("score", "predicted", "spans")) -> DataFrame:
