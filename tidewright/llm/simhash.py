@@ -88,6 +88,8 @@ def _prints(docs: DataFrame, k: int, id_col: str, text_col: str, planes: int, ba
 def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000, sample: int = 20_000, pairs_from: int = 1 << 22) -> DataFrame:
     """``a, b, distance``: a spanning forest, shortest links first, of the pairs of distinct ``fps(fp)`` that differ in at most ``radius`` bits.
 
+    With a column ``plane``, pairs are those of one plane, which the result then names.
+
     A tree for each block, grown on the driver over ``sample`` fingerprints
     (those of smallest hash) or four for each shard, cuts them into shards of
     about ``shard``. From ``pairs_from`` fingerprints on, there is a tree for
@@ -99,15 +101,17 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
     n ** (1 + small), and memory that of one shard; a shard yields fewer links
     than values, whatever the number of its pairs.
     """
-    n = fps.count()
+    by = [c for c in ("plane",) if c in fps.columns]
+    kind, planes = ("plane int, ", 1 + (fps.agg(F.max("plane")).first()[0] or 0)) if by else ("", 1)
+    n = fps.count() // planes
     keep = 1
     if n >= pairs_from and 2 * 64 // (radius + 2) > 64 // blocks:
         blocks, keep = radius + 2, 2
     sample = max(sample, 4 * n // shard)
     picked = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
     masks, block_radius = vptree.block_masks(blocks, keep), vptree.block_radius(radius, blocks, keep)
-    if not n:
-        return fps.sparkSession.createDataFrame([], "a bigint, b bigint, distance int")
+    if not len(picked):
+        return fps.sparkSession.createDataFrame([], f"{kind}a bigint, b bigint, distance int")
     depth = max(0, ceil(log2(max(1, n / shard))))
     trees, first = [], 0
     for m in masks:
@@ -119,29 +123,33 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            held.append(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            held.append(b)
             size += b.num_rows
             if size >= 1 << 16:
-                yield routed(np.concatenate(held))
+                yield routed(held)
                 held, size = [], 0
         if size:
-            yield routed(np.concatenate(held))
+            yield routed(held)
 
-    def routed(fp: np.ndarray) -> pa.RecordBatch:
+    def routed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        fp = np.concatenate([b.column(len(by)).to_numpy(zero_copy_only=False) for b in held]).view(np.uint64)
         parts = [(start + leaf, index, home) for (tree, start), m in zip(trees, masks) for leaf, index, home in vptree.route(tree, fp & np.uint64(m), block_radius)]
-        shards = np.concatenate([np.full(len(index), leaf, np.int32) for leaf, index, _ in parts])
-        return pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.concatenate([fp[index] for _, index, _ in parts]).view(np.int64)), pa.array(np.concatenate([home for _, _, home in parts]))], names=["shard", "fp", "home"])
+        index = np.concatenate([i for _, i, _ in parts])
+        plane = [pa.array(np.concatenate([b.column(0).to_numpy(zero_copy_only=False) for b in held])[index])] if by else []
+        shards = np.concatenate([np.full(len(i), leaf, np.int32) for leaf, i, _ in parts])
+        return pa.RecordBatch.from_arrays([*plane, pa.array(shards), pa.array(fp[index].view(np.int64)), pa.array(np.concatenate([home for _, _, home in parts]))], names=[*by, "shard", "fp", "home"])
 
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         own_pool()
         fp = t.column("fp").to_numpy().view(np.uint64)
         home = t.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        a, b, d = vptree.forest(fp, home, masks[owner[key[0].as_py()]], radius, block_radius)
+        a, b, d = vptree.forest(fp, home, masks[owner[key[-1].as_py()]], radius, block_radius)
         release()
-        return pa.table({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64), "distance": d.astype(np.int32)})
+        plane = {"plane": pa.array(np.full(len(a), key[0].as_py(), np.int32))} if by else {}
+        return pa.table({**plane, "a": fp[a].view(np.int64), "b": fp[b].view(np.int64), "distance": d.astype(np.int32)})
 
-    spreaded = map_batches(fps.select("fp"), spread, "shard int, fp bigint, home boolean")
-    return spreaded.groupBy("shard").applyInArrow(solve, "a bigint, b bigint, distance int")
+    spreaded = map_batches(fps.select(*by, "fp"), spread, f"{kind}shard int, fp bigint, home boolean")
+    return spreaded.groupBy(*by, "shard").applyInArrow(solve, f"{kind}a bigint, b bigint, distance int")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, planes: int = 1, bands: int = 30, band_rows: int = 7, **more) -> DataFrame:
@@ -165,22 +173,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int =
     rows = shared(rows)
     pick = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h")).alias("pick")
     nodes = shared(rows.groupBy("node", *names).agg(F.min("_id").alias("least"), pick, F.first("keys").alias("keys")))
-    found = None
-    for n in names:
-        first = nodes.groupBy(n).agg(F.min("node").alias("rep"))
-        pairs = links(first.select(F.col(n).alias("fp")), radius, blocks, **more).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        if sets or planes > 1:
-            for end, node in (("_a", "a"), ("_b", "b")):
-                pairs = hot_join(pairs, first.select(F.col(n).alias(end), F.col("rep").alias(node)), [end], [c for c in pairs.columns if c != end])
-            same = hot_join(nodes.select("node", n), first, [n], ["node"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-            pairs = pairs.select("a", "b").unionByName(same)
-        else:
-            pairs = pairs.toDF("a", "b")
-        found = pairs if found is None else found.unionByName(pairs)
+    if sets or planes > 1:  # all planes at once
+        prints = nodes.select("node", F.posexplode(F.array(*names)).alias("plane", "fp"))
+        first = shared(prints.groupBy("plane", "fp").agg(F.min("node").alias("rep")))
+        found = shared(links(first.select("plane", "fp"), radius, blocks, **more).select("plane", F.col("a").alias("_a"), F.col("b").alias("_b")))
+        for end, node in (("_a", "a"), ("_b", "b")):
+            found = hot_join(found, first.select("plane", F.col("fp").alias(end), F.col("rep").alias(node)), ["plane", end], [c for c in found.columns if c not in ("plane", end)])
+        found = found.select("a", "b").unionByName(hot_join(prints, first, ["plane", "fp"], ["node"]).where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    else:
+        found = links(nodes.select(F.col("node").alias("fp")), radius, blocks, **more).select("a", "b")
     if sets:
         each = nodes.select("node", F.explode("keys").alias("key"))
-        rep = each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        found = found.unionByName(hot_join(each, rep, ["key"], ["node"]).where("node <> a").select("a", F.col("node").alias("b")))
+        rep = shared(each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+        found = shared(found.distinct()).unionByName(hot_join(each, rep, ["key"], ["node"]).where("node <> a").select("a", F.col("node").alias("b")))
         found = alike(shared(found.distinct()), nodes, docs, k, similarity, id_col, text_col)
     root = components(found)
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
