@@ -104,6 +104,12 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(bounded, schema)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects garbage on the driver, so that Spark drops shuffles, broadcasts and plans that nothing refers to any more."""
+    gc.collect()  # Python's frames hold those of the JVM
+    spark.sparkContext._jvm.System.gc()
+
+
 def own_pool() -> None:
     """Arrow's memory then comes from the C library, which gives it back on request."""
     pa.set_memory_pool(pa.system_memory_pool())

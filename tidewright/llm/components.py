@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import hot_join, shared
+from tidewright.llm.common import hot_join, shared, tidy
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -19,19 +19,21 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     lost executor costs a round at most.
     """
     links = shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
+    told = lambda: links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b") % 1_000_003)).first()
+    before = told()  # stars stay as they are
     for _ in range(rounds):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = hot_join(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = hot_join(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = hot_join(large, least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
         links = shared(small.distinct())
-        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b") % 1_000_003)).first()
+        now = told()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components: no end after {rounds} rounds")
+    tidy(links.sparkSession)
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

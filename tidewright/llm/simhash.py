@@ -225,8 +225,8 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarit
             seen[0] = 0
         place = {x: i for i, x in enumerate(t.column("node").to_pylist())}  # an anchor, or a node outside, may come twice
         t = t.take(pa.array(sorted(place.values())))
-        a, b = jaccard_links(t.column("s").combine_chunks(), t.column("g").to_pylist(), similarity)
         node = t.column("node").combine_chunks()
+        a, b = stars(*jaccard_links(t.column("s").combine_chunks(), t.column("g").to_pylist(), similarity), node.to_pylist())
         return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
     hashed = shared(map_batches(one, sets, f"c {kind}, node {kind}, s array<bigint>"))
@@ -301,6 +301,23 @@ def jaccard_links(sets: pa.ListArray, groups: list, similarity: float) -> tuple[
             label[np.isin(label, label[near])] = label[i]
 
 
+def stars(a: list[int], b: list[int], names: list) -> tuple[list[int], list[int]]:
+    """Links with the same components, each from the row of the smallest name to another one: most groups then need no further rounds."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for x, y in zip(a, b):
+        x, y = sorted((find(x), find(y)), key=names.__getitem__)
+        up[y] = x
+    rows = [x for x in dict.fromkeys([*a, *b]) if find(x) != x]
+    return rows, [find(x) for x in rows]
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """``docs`` with the rows of one id, the smallest, for each component. Rows with a null id stay if their component has no other."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **more)
