@@ -15,25 +15,20 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     that combines before its shuffle, and joins it back to the links, those of
     a node with many of them in several parts. The
     links never grow, and the rounds are about the logarithm of the longest
-    path. Every round ends in a checkpoint, so that lineage stays short and a
-    lost executor costs a round at most.
+    path. The first minimum of a round also tells whether all links are stars
+    already: no node with a smaller neighbour then has another one. Minima and
+    links are checkpoints, so that lineage stays short and a lost executor
+    costs a round at most.
     """
     links = shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    told = lambda: links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b") % 1_000_003)).first()
-    before = told()  # stars stay as they are
     for _ in range(rounds):
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = hot_join(both, least, ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        both = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
+        least = shared(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"), ((F.count_if(F.col("b") < F.col("a")) > 0) & (F.count(F.lit(1)) > 1)).alias("open")))
+        if least.where("open").isEmpty():
+            tidy(links.sparkSession)
+            return least.select(F.col("a").alias("node"), F.col("m").alias("root"))
+        large = hot_join(both, least.select("a", "m"), ["a"], ["b"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = hot_join(large, least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(least.select("a", F.col("m").alias("b")))
-        links = shared(small.distinct())
-        now = told()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components: no end after {rounds} rounds")
-    tidy(links.sparkSession)
-    roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        ends = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))  # the smallest neighbour's own link stays
+        links = shared(hot_join(large, least, ["a"], ["b"]).select(ends.alias("a"), F.col("m").alias("b")).distinct())
+    raise RuntimeError(f"components: no end after {rounds} rounds")

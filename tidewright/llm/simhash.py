@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int =
     if sets:
         each = nodes.select("node", F.explode("keys").alias("key"))
         rep = shared(each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-        found = shared(found.distinct()).unionByName(hot_join(each, rep, ["key"], ["node"]).where("node <> a").select("a", F.col("node").alias("b")))
-        found = alike(shared(found.distinct()), nodes, docs, k, similarity, id_col, text_col)
+        found = shared(found).unionByName(hot_join(each, rep, ["key"], ["node"]).where("node <> a").select("a", F.col("node").alias("b")))
+        found = alike(found, nodes, docs, k, similarity, id_col, text_col)
     root = components(found)
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
