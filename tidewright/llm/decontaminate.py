@@ -9,11 +9,22 @@ from tidewright.llm.common import fresh, row_key, shared, text_or_empty, words
 
 
 def _grams(ws: Column, n: int | Column) -> Column:
-    """Each window of n words as (place from 0, hash); none if the text is shorter."""
-    size = F.size(ws)
+    """The hash of each window of n words, by its place from 0; none if the text is shorter."""
     n = F.lit(n) if isinstance(n, int) else n
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct((i - 1).alias("at"), n.cast("int").alias("n"), F.xxhash64(F.slice(ws, i, n)).alias("h")))
+    starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, n)))
+
+
+def _place(pos: Column, size: Column, lengths: list[int]) -> tuple[Column, Column]:
+    """Place and length of a window from its position among the windows of all lengths, one length behind the other."""
+    at, n, before = F.lit(-1), F.lit(0), F.lit(0)
+    ends = []
+    for k in lengths:
+        ends.append((before, before + F.greatest(size - k + 1, F.lit(0)), k))
+        before = ends[-1][1]
+    for first, end, k in reversed(ends):
+        at, n = F.when(pos < end, pos - first).otherwise(at), F.when(pos < end, k).otherwise(n)
+    return at, n
 
 
 def benchmark_windows(items: DataFrame, n: int = 8, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -23,9 +34,8 @@ def benchmark_windows(items: DataFrame, n: int = 8, id_col: str = "item_id", tex
     """
     ws = items.select(F.col(id_col).cast("string").alias("item"), words(text_or_empty(text_col)).alias("ws")).where(F.size("ws") > 0)
     k = F.least(F.lit(n), F.size("ws"))
-    each = ws.select("item", "ws", F.explode(_grams(F.col("ws"), k)).alias("g"))
-    gram = F.slice("ws", F.col("g.at") + 1, F.col("g.n"))
-    return each.select("item", F.col("g.n").alias("n"), F.col("g.h").alias("h"), gram.alias("gram")).groupBy("n", "h", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = ws.select("item", "ws", k.cast("int").alias("n"), F.posexplode(_grams(F.col("ws"), k)).alias("at", "h"))
+    return each.select("item", "n", "h", F.slice("ws", F.col("at") + 1, F.col("n")).alias("gram")).groupBy("n", "h", "gram").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def find_hits(docs: DataFrame, items: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_windows: int = 1_000_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -54,20 +64,24 @@ def find_hits(docs: DataFrame, items: DataFrame, n: int = 8, id_col: str = "doc_
     grams = [_grams(F.col("ws"), k) for k in lengths]
     kind = "array<struct<at:int,end:int>>"
     if (bound["n"] or 0) <= broadcast_windows and (bound["bytes"] or 0) <= broadcast_bytes:
-        own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("h")))
-        scan = base.select("_key", "_id", "ws", F.explode(F.concat(own, *grams)).alias("g"))
-        same = (F.col("g.h") == F.col("w_h")) & (F.col("g.n") == F.col("w_n")) & (F.slice("ws", F.greatest(F.col("g.at") + 1, F.lit(1)), F.col("g.n")) == F.col("gram"))
-        met = scan.join(F.broadcast(table), same, "left").where(F.col("gram").isNotNull() | (F.col("g.at") < 0))
+        # Position 0 is the document's own row. One long is the key and a long is all that a window adds to a row; place and length are worked out for hits alone.
+        own = F.array(F.lit(None).cast("bigint"))
+        scan = base.select("_key", "_id", "ws", F.posexplode(F.concat(own, *grams)).alias("pos", "h"))
+        at, length = _place(F.col("pos") - 1, F.size("ws"), lengths)
+        same = (F.col("h") == F.col("w_h")) & (length - F.col("w_n") == 0) & (F.slice("ws", F.greatest(at + 1, F.lit(1)), F.col("w_n")) == F.col("gram"))
+        met = scan.join(F.broadcast(table), same, "left").where(F.col("gram").isNotNull() | (F.col("pos") == 0))
         hit = F.col("gram").isNotNull()
         rows = met.groupBy("_key").agg(
             F.first("_id").alias(id_col),
             F.sum(F.when(~hit, 1)).alias("copies"),
             F.max(F.when(~hit, F.size("ws"))).cast("bigint").alias("n_words"),
-            F.collect_set(F.when(hit, F.struct(F.col("g.at").alias("at"), (F.col("g.at") + F.col("g.n")).alias("end")))).alias("_at"),
+            F.collect_set(F.when(hit, F.struct(at.alias("at"), (at + F.col("w_n")).alias("end")))).alias("_at"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         )
     else:
-        scan = base.select("_key", F.explode(F.concat(*grams)).alias("g")).select("_key", "g.at", "g.n", "g.h")
+        scan = base.select("_key", F.size("ws").alias("size"), F.posexplode(F.concat(*grams)).alias("pos", "h"))
+        at, length = _place(F.col("pos"), F.col("size"), lengths)
+        scan = scan.select("_key", at.alias("at"), length.alias("n"), "h")
         met = scan.join(table, (F.col("h") == F.col("w_h")) & (F.col("n") == F.col("w_n")))
         each = met.groupBy("_key").agg(F.collect_set(F.struct("at", "n", "gram", "items")).alias("met"))
         once = base.groupBy("_key").agg(F.first("_id").alias(id_col), F.count(F.lit(1)).alias("copies"), F.first("ws").alias("ws"))
