@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.engine import Engine
+from tidewright.runner import Runner
 from tidewright.lang import ast as A
 from tidewright.lang.parser import parse
 from tidewright.streaming import live
@@ -33,7 +33,7 @@ def drain(df, path, name, mode="append"):
 
 def replay(spark, rows, text, **choices):
     df = spark.createDataFrame(rows, SCHEMA)
-    e = Engine(spark, **choices).stream("s", df, "t", ["id"])
+    e = Runner(spark, **choices).stream("s", df, "t", ["id"])
     for c in "ABC":
         e.stream(c, df.where(f"kind = '{c}'"), "t", ["id"])
     return sorted((tuple(r) for r in e.run(text)["o"].collect()), key=repr)

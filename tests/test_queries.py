@@ -1,4 +1,4 @@
-"""Every registered query of the engine against DuckDB on the smallest tables."""
+"""Every registered event query against DuckDB on the smallest tables."""
 
 from __future__ import annotations
 

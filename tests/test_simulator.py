@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tidewright.engine import Engine
+from tidewright.runner import Runner
 
 N = 160
 
@@ -21,16 +21,16 @@ def events(seed: int, ties: bool = False) -> list[tuple[int, int, str, int, floa
     return out
 
 
-def engine(spark, rows, **choices) -> Engine:
+def bound(spark, rows, **choices) -> Runner:
     df = spark.createDataFrame(rows, "id bigint, t bigint, kind string, k bigint, v double")
-    e = Engine(spark, **choices).stream("s", df, "t", ["id"])
+    e = Runner(spark, **choices).stream("s", df, "t", ["id"])
     for c in "ABC":
         e.stream(c, df.where(f"kind = '{c}'"), "t", ["id"])
     return e
 
 
 def run(spark, rows, text, **choices):
-    return sorted(tuple(r) for r in engine(spark, rows, **choices).run(f"INSERT INTO o {text}")["o"].collect())
+    return sorted(tuple(r) for r in bound(spark, rows, **choices).run(f"INSERT INTO o {text}")["o"].collect())
 
 
 def some(values):
@@ -128,7 +128,7 @@ def test_chain(spark, every, keyed, within):
     if within:
         q_within = within * 1000
         text = text.replace(f"{within} MS", f"{q_within} MS")
-    e = engine(spark, df_rows)
+    e = bound(spark, df_rows)
     text = f"PARTITION WITH (k OF A, k OF B, k OF C) BEGIN {text}; END" if keyed else text
     got = sorted(tuple(r) for r in e.run(text)["o"].collect())
     want = simulate(df_rows, [("A", 1, 1), ("B", 1, 1), ("C", 1, 1)], every, within and within * 1000, keyed)
@@ -137,7 +137,7 @@ def test_chain(spark, every, keyed, within):
 
 def test_counts(spark):
     rows = [(i, t * 1000 + i, kind, k, v) for i, t, kind, k, v in events(9)]
-    e = engine(spark, rows)
+    e = bound(spark, rows)
     q = "PARTITION WITH (k OF A, k OF B) BEGIN INSERT INTO o SELECT count(e1) AS n, e1[0].id AS f, e1[last].id AS l, e2.id AS b FROM PATTERN (EVERY(e1=A{1,3} -> e2=B)); END"
     got = sorted(tuple(r) for r in e.run(q)["o"].collect())
     want = simulate([r for r in rows if r[2] in "AB"], [("A", 1, 3), ("B", 1, 1)], True, None, True)
@@ -155,7 +155,7 @@ def test_sequence_restarts_after_a_match(spark):
 def test_errors(spark):
     from tidewright.lang.lexer import DialectError
 
-    e = engine(spark, events(1))
+    e = bound(spark, events(1))
     for text in ("SELECT nope FROM s", "SELECT id FROM nowhere", "SELECT id FROM s WHERE kind > 1", "SELECT id FROM s WHERE id", "SELECT sum(kind) AS x FROM s", "SELECT CASE WHEN id > 1 THEN 1 ELSE 'a' END AS x FROM s", "SELECT id, id FROM s", "SELECT wat(id) AS x FROM s", "SELECT id FROM s WINDOW('length', 0)", "SELECT * FROM PATTERN (a=A -> b=B)", "SELECT concat(id, 'a') AS x FROM s"):
         with pytest.raises(DialectError):
             e.run(f"INSERT INTO o {text}")

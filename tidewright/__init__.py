@@ -1 +1 @@
-"""A streaming-SQL and event-pattern engine on Spark: queries over ordered events as DataFrames."""
+"""A streaming-SQL and event-pattern library on Spark: queries over ordered events as DataFrames."""

@@ -1,4 +1,4 @@
-"""Syntax tree of the dialect. The engine takes these objects as well as text."""
+"""Syntax tree of the dialect. The runner takes these objects as well as text."""
 
 from __future__ import annotations
 

@@ -16,7 +16,7 @@ from tidewright.operators import joins, patterns, ratelimit, windows
 from tidewright.operators.order import SEQ, TS, merged
 from tidewright.types import of_spark
 
-#: The engine's choices, each with its default first.
+#: The runner's choices, each with its default first.
 CHOICES = {
     "where": ("before_window", "after_window"),
     "null_mode": ("sql", "two_valued"),

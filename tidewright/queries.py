@@ -1,4 +1,4 @@
-"""The engine's operators as registered queries, each with the SQL that gives the same rows."""
+"""The event operators as registered queries, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.engine import Engine
+from tidewright.runner import Runner
 from tidewright.operators.order import ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,9 +24,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def engine(spark: SparkSession, sf_dir: str, *names: str, **choices: str) -> Engine:
-    """An engine with the streams and tables that the names ask for; streams of one event type are named by it."""
-    e = Engine(spark, **choices)
+def bound(spark: SparkSession, sf_dir: str, *names: str, **choices: str) -> Runner:
+    """A runner with the streams and tables that the names ask for; streams of one event type are named by it."""
+    e = Runner(spark, **choices)
     events = read(spark, sf_dir, "events")
     for n in names or ("events",):
         if n == "events":
@@ -46,7 +46,7 @@ def app(name: str, text: str, oracle: str | None, inputs: tuple[str, ...] = ("ev
     """Registers an application whose stream ``out`` is the result."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return engine(spark, sf_dir, *inputs, **choices).run(text)[out]
+        return bound(spark, sf_dir, *inputs, **choices).run(text)[out]
 
     query.__name__ = name
     QUERIES[name] = query
@@ -144,14 +144,14 @@ for per, ms in (("hour", HOUR), ("day", DAY), ("month", 30 * DAY)):
 
     @plain(f"a_rollup_{per}", f"SELECT t - t % {ms} AS AGG_TIMESTAMP, event_type, round(sum(value), 6) AS s, round(avg(value), 9) AS a, count(*) AS n, max(value) AS m FROM {E} GROUP BY ALL")
     def rollup(spark: SparkSession, sf_dir: str, per: str = per) -> DataFrame:
-        e = engine(spark, sf_dir)
+        e = bound(spark, sf_dir)
         e.run("CREATE AGGREGATION agg AS SELECT event_type, sum(value) AS s, avg(value) AS a, count(*) AS n, max(value) AS m FROM events GROUP BY event_type AGGREGATE EVERY SECOND TO YEAR")
         return e.query_aggregation("agg", per).withColumn("s", F.round("s", 6)).withColumn("a", F.round("a", 9))
 
 
 @plain("a_rollup_within", f"SELECT t - t % {HOUR} AS AGG_TIMESTAMP, count(*) AS n FROM {E} WHERE t >= 1704844800000 AND t < 1705449600000 GROUP BY 1")
 def rollup_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = engine(spark, sf_dir)
+    e = bound(spark, sf_dir)
     e.run("CREATE AGGREGATION agg AS SELECT count(*) AS n FROM events AGGREGATE EVERY MINUTE, HOUR, DAY")
     return e.query_aggregation("agg", "hours", (1704844800000, 1705449600000))
 
@@ -194,7 +194,7 @@ app("j_table_on_left", "INSERT INTO o SELECT n.n_name, count(*) AS n FROM nation
 def j_table_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event with its user's last order before it; orders are shifted into the time of the events."""
     orders = read(spark, sf_dir, "orders")
-    e = engine(spark, sf_dir).table_log("orders_table", orders.select("o_custkey", "o_orderkey", "o_totalprice", _shifted(orders).alias("at")), "o_custkey", "at", ("o_orderkey",))
+    e = bound(spark, sf_dir).table_log("orders_table", orders.select("o_custkey", "o_orderkey", "o_totalprice", _shifted(orders).alias("at")), "o_custkey", "at", ("o_orderkey",))
     return e.run("INSERT INTO o SELECT e.event_id, t.o_orderkey, t.o_totalprice FROM events AS e JOIN orders_table AS t ON e.user_id = t.o_custkey")["o"]
 
 
@@ -209,7 +209,7 @@ app("x_in_table", "INSERT INTO o SELECT event_id FROM events WHERE user_id IN vi
 
 
 def _in_table(spark: SparkSession, sf_dir: str, negated: str = "") -> DataFrame:
-    e = engine(spark, sf_dir).table("vip", read(spark, sf_dir, "supplier").select("s_suppkey"))
+    e = bound(spark, sf_dir).table("vip", read(spark, sf_dir, "supplier").select("s_suppkey"))
     return e.run(f"INSERT INTO o SELECT event_id FROM events WHERE {negated} user_id IN vip AND value > 1")["o"]
 
 
@@ -277,7 +277,7 @@ DOCS = "(SELECT doc_id, coalesce(text, '') AS text, lang, source FROM documents)
 def documents(name: str, select: str, oracle: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
-        return Engine(spark).stream("docs", docs, "doc_id").run(f"INSERT INTO o SELECT {select} FROM docs")["o"]
+        return Runner(spark).stream("docs", docs, "doc_id").run(f"INSERT INTO o SELECT {select} FROM docs")["o"]
 
     QUERIES[name] = query
     ORACLE[name] = f"SELECT {oracle} FROM {DOCS}"
@@ -303,13 +303,13 @@ app("f_date", "INSERT INTO o SELECT event_id, eventTimestamp() AS t, formatDate(
 
 @plain("f_now_uuid", "SELECT count(*) AS n, count(*) AS u, true AS recent FROM events")
 def f_now_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = engine(spark, sf_dir).run("INSERT INTO o SELECT event_id, uuid() AS u, now() AS t FROM events")["o"]
+    o = bound(spark, sf_dir).run("INSERT INTO o SELECT event_id, uuid() AS u, now() AS t FROM events")["o"]
     return o.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("u"), F.min(F.col("t") > 1_700_000_000_000).alias("recent"))
 
 
 @plain("f_udf", "SELECT event_id, value * 2 + 1 AS r FROM events")
 def f_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine(spark, sf_dir).udf("twice_plus", lambda x, y: x * 2 + y, "DOUBLE").run("INSERT INTO o SELECT event_id, twice_plus(value, 1) AS r FROM events")["o"]
+    return bound(spark, sf_dir).udf("twice_plus", lambda x, y: x * 2 + y, "DOUBLE").run("INSERT INTO o SELECT event_id, twice_plus(value, 1) AS r FROM events")["o"]
 
 
 # Sources and sinks: payloads there and back

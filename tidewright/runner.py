@@ -1,4 +1,4 @@
-"""The engine: applications of the dialect, run over bounded DataFrames in a declared order."""
+"""The runner: applications of the dialect, run over bounded DataFrames in a declared order."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from tidewright.plans.query import CHOICES, Context, Stream, Table, evaluate
 from tidewright.sources.validation import check_options, cycles
 
 
-class Engine:
+class Runner:
     """Streams and tables by name, and the statements that read and write them.
 
     Choices (see ``CHOICES``) select between the documented meaning, which is
@@ -39,17 +39,17 @@ class Engine:
 
     # inputs
 
-    def stream(self, name: str, df: DataFrame, ts: str, tiebreak: tuple[str, ...] | list[str] = ()) -> Engine:
+    def stream(self, name: str, df: DataFrame, ts: str, tiebreak: tuple[str, ...] | list[str] = ()) -> Runner:
         """Binds a stream's events: in the order of ``ts``, then ``tiebreak``."""
         self.ctx.streams[name] = Stream(ordered(self._typed(name, df), ts, list(tiebreak)))
         return self
 
-    def table(self, name: str, df: DataFrame, key: tuple[str, ...] = ()) -> Engine:
+    def table(self, name: str, df: DataFrame, key: tuple[str, ...] = ()) -> Runner:
         """Binds a table that does not change while streams run."""
         self.ctx.tables[name] = Table(df, tuple(key))
         return self
 
-    def table_log(self, name: str, log: DataFrame, key: str, ts: str, tiebreak: tuple[str, ...] = (), op: str | None = None) -> Engine:
+    def table_log(self, name: str, log: DataFrame, key: str, ts: str, tiebreak: tuple[str, ...] = (), op: str | None = None) -> Runner:
         """Binds a table by its writes: lookups see it as it was at each event. ``op`` names a column of insert, update, upsert, delete."""
         rows = ordered(log.withColumn(table_ops.OP, F.col(op) if op else F.lit("upsert")), ts, list(tiebreak))
         user = [c for c in log.columns if c != op]
@@ -72,17 +72,17 @@ class Engine:
 
     # functions and callbacks
 
-    def udf(self, name: str, make: Callable, result: str) -> Engine:
+    def udf(self, name: str, make: Callable, result: str) -> Runner:
         """A scalar function: ``make`` turns columns into a column (a pandas or Arrow UDF, or built-ins)."""
         self.ctx.udfs[name.lower()] = (make, types.spark_type(result) if result.upper() in types._SPARK else result)
         return self
 
-    def window(self, name: str, make: Callable) -> Engine:
+    def window(self, name: str, make: Callable) -> Runner:
         """A window type of one's own: ``make`` turns its constants into a window's Spec."""
         self.ctx.windows[name.lower()] = make
         return self
 
-    def on(self, stream: str, callback: Callable[[DataFrame], None]) -> Engine:
+    def on(self, stream: str, callback: Callable[[DataFrame], None]) -> Runner:
         """Calls back with a stream's rows after a run."""
         self.callbacks.setdefault(stream, []).append(callback)
         return self
