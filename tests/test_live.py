@@ -89,3 +89,68 @@ def test_keyed_table(spark, feed):
     for i, _, _, k, _ in rows:
         last[k] = i
     assert got == sorted(last.items())
+
+
+def test_sessions_are_replay_but_for_open_ones(spark, feed):
+    sdf, rows, path = feed
+    got = drain(live.sessions(sdf, "ts", "10 seconds", ["k"], [F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")]), path, "sess")
+    times: dict[int, list[tuple[int, int]]] = {}
+    for id_, t, _, k, _ in rows:
+        times.setdefault(k, []).append((t, id_))
+    want = []
+    for k, all_ in times.items():
+        held = []
+        for t, id_ in sorted(all_):
+            if held and t - held[-1][0] >= 10_000:
+                want.append((k, len(held), min(i for _, i in held)))
+                held = []
+            held.append((t, id_))
+        want.append((k, len(held), min(i for _, i in held)))
+    mine = [(k, n, lo) for _, k, n, lo in got]
+    assert mine and not [x for x in mine if x not in want]
+    assert len(want) - len(mine) <= len(times) + 2  # those that the last watermark has not passed
+
+
+def test_interval_join(spark, feed):
+    sdf, rows, path = feed
+    a = sdf.where("kind = 'A'").select(F.col("id").alias("a"), F.col("k").alias("ka"), F.col("ts").alias("ta"))
+    b = sdf.where("kind = 'B'").select(F.col("id").alias("b"), F.col("k").alias("kb"), F.col("ts").alias("tb"))
+    out = live.interval_join(a, b, "ta", "tb", F.col("ka") == F.col("kb"), "5 seconds", "30 seconds", delay="1 hour")
+    want = [(x[0], y[0]) for x in rows if x[2] == "A" for y in rows if y[2] == "B" and x[3] == y[3] and -5_000 <= y[1] - x[1] <= 30_000]
+    assert want and drain(out.select("a", "b"), path, "near") == sorted(want, key=repr)
+
+
+def test_lookup_and_dedup(spark, feed):
+    sdf, rows, path = feed
+    names = spark.createDataFrame([(0, "zero"), (1, "one")], "key bigint, name string")
+    got = drain(live.lookup(sdf, names, F.col("k") == F.col("key"), "left").select("id", "name"), path, "look")
+    assert got == sorted(((r[0], {0: "zero", 1: "one"}.get(r[3])) for r in rows), key=repr)
+    twice = sdf.withColumn("id", F.explode(F.array("id", "id")))
+    assert drain(live.deduplicated(twice, "ts", ["id"], "1 hour").select("id"), path, "once") == sorted(((r[0],) for r in rows), key=repr)
+
+
+def test_top(spark, feed):
+    sdf, rows, path = feed
+    got = drain(live.top(sdf, ["k"], ["t", "id"], 3, "v", True, ["id"]).select("id", "top"), path, "top")
+    held: dict[int, list[float]] = {}
+    want = []
+    for id_, _, _, k, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        held[k] = sorted([*held.get(k, []), *([v] if v is not None else [])], reverse=True)[:3]
+        want.append((id_, held[k]))
+    assert got == sorted(want, key=repr)
+
+
+def test_ticks(spark, tmp_path):
+    (t,) = parse("CREATE TRIGGER beat AT EVERY 5 SECONDS")
+    from tidewright.operators.triggers import live_ticks
+
+    q = live_ticks(spark, t).writeStream.format("memory").queryName("beat").option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="0 seconds").start()
+    try:
+        for _ in range(60):
+            q.awaitTermination(1)
+            if spark.table("beat").count() > 2:
+                break
+    finally:
+        q.stop()
+    times = sorted(r[0] for r in spark.table("beat").collect())
+    assert len(times) > 2 and {b - a for a, b in zip(times, times[1:])} == {5000}

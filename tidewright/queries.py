@@ -245,6 +245,9 @@ app("pt_every", THREE.format(p="EVERY(e1=view -> e2=click -> e3=purchase)"), cha
 app("pt_once", THREE.format(p="e1=view -> e2=click -> e3=purchase"), chained(VCP, False) + " ORDER BY a.seq LIMIT 1", inputs=VCP)
 app("pt_once_keyed", USER.format(q=THREE.format(p="e1=view -> e2=click -> e3=purchase")), chained(VCP, True) + " QUALIFY row_number() OVER (PARTITION BY a.user_id ORDER BY a.seq) = 1", inputs=VCP)
 app("pt_within", "PARTITION WITH (user_id OF view, user_id OF purchase) BEGIN INSERT INTO o SELECT e1.event_id AS a, e2.event_id AS b FROM PATTERN (EVERY(e1=view -> e2=purchase) WITHIN 1 DAY); END", chained(("view", "purchase"), True, DAY), inputs=("view", "purchase"))
+app("pt_within_events", "INSERT INTO o SELECT e1.event_id AS a, e2.event_id AS b FROM PATTERN (EVERY(e1=view -> e2=purchase) WITHIN 3 EVENTS)", f"""WITH m AS (SELECT event_id, event_type, row_number() OVER (ORDER BY seq) AS r FROM {E} WHERE event_type IN ('view', 'purchase')),
+n AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN r END) OVER (ORDER BY r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nx FROM m)
+SELECT n.event_id AS a, m.event_id AS b FROM n JOIN m ON m.r = n.nx WHERE n.event_type = 'view' AND n.nx - n.r < 3""", inputs=("view", "purchase"))
 app("pt_filter", "PARTITION WITH (user_id OF view, user_id OF purchase) BEGIN INSERT INTO o SELECT e1.event_id AS a, e2.event_id AS b FROM PATTERN (EVERY(e1=view[value > 10] -> e2=purchase[value > 5])); END", f"WITH e AS (SELECT *, min(CASE WHEN event_type = 'purchase' AND value > 5 THEN seq END) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM {E}) SELECT a.event_id AS a, b.event_id AS b FROM e a JOIN e b ON b.seq = a.n WHERE a.event_type = 'view' AND a.value > 10", inputs=("view", "purchase"))
 app("pt_cross_filter", "PARTITION WITH (user_id OF view, user_id OF purchase) BEGIN INSERT INTO o SELECT e1.event_id AS a, e2.event_id AS b FROM PATTERN (EVERY(e1=view -> e2=purchase[value > e1.value]) WITHIN 7 DAYS); END", f"SELECT a, arg_min(b, q) AS b FROM (SELECT a.event_id AS a, b.event_id AS b, b.seq AS q FROM {E} a JOIN {E} b ON a.user_id = b.user_id AND b.seq > a.seq AND b.value > a.value AND b.t - a.t <= {7 * DAY} WHERE a.event_type = 'view' AND b.event_type = 'purchase') GROUP BY a", inputs=("view", "purchase"))
 app("pt_where", "PARTITION WITH (user_id OF view, user_id OF purchase) BEGIN INSERT INTO o SELECT e1.event_id AS a, e2.event_id AS b FROM PATTERN (EVERY(e1=view -> e2=purchase)) WHERE e2.value > e1.value; END", chained(("view", "purchase"), True) + " AND b.value > a.value", inputs=("view", "purchase"))
@@ -312,6 +315,59 @@ def f_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bound(spark, sf_dir).udf("twice_plus", lambda x, y: x * 2 + y, "DOUBLE").run("INSERT INTO o SELECT event_id, twice_plus(value, 1) AS r FROM events")["o"]
 
 
+app("f_forms", "INSERT INTO o SELECT event_id, like(event_type, '%ick') AS l, cast(value, 'long') AS c, convert(user_id, 'string') AS s FROM events", "SELECT event_id, event_type LIKE '%ick' AS l, CAST(trunc(value) AS BIGINT) AS c, CAST(user_id AS VARCHAR) AS s FROM events")
+
+
+@plain("f_rollup_helpers", f"SELECT event_id, t // 1000 * 1000 AS ms, t AS a, t + {HOUR} AS b, event_id >= t AS u, true AS zone FROM {E}")
+def f_rollup_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalars that belong to rollups: time from text, a pair of times, whether a stored time is newer, the session's zone."""
+    text = f"INSERT INTO o SELECT event_id, timestampInMilliseconds(formatDate(eventTimestamp(), '%Y-%m-%d %H:%M:%S')) AS ms, startTimeEndTime(eventTimestamp(), eventTimestamp() + {HOUR}) AS ab, shouldUpdate(event_id) AS u, getTimeZone() AS zone FROM events"
+    o = bound(spark, sf_dir).run(text)["o"]
+    return o.select("event_id", "ms", F.col("ab")[0].alias("a"), F.col("ab")[1].alias("b"), "u", (F.col("zone") == F.current_timezone()).alias("zone"))
+
+
+# Extensions and calls back
+
+
+@plain("x_aggregate", f"WITH e AS (SELECT *, t // {DAY} AS b FROM {E}) SELECT user_id, round(median(value), 9) AS m FROM e GROUP BY b, user_id")
+def x_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.functions.registry import aggregate
+
+    aggregate("middle", "double", numeric=True)(F.median)
+    return bound(spark, sf_dir, align="epoch").run("INSERT INTO o SELECT user_id, round(middle(value), 9) AS m FROM events WINDOW TUMBLING(1 DAY) GROUP BY user_id")["o"]
+
+
+@plain("x_scalar", "SELECT event_id, value * value AS r FROM events")
+def x_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.functions.registry import scalar
+
+    scalar("squared", "double")(lambda x: x * x)
+    return bound(spark, sf_dir).run("INSERT INTO o SELECT event_id, squared(value) AS r FROM events")["o"]
+
+
+@plain("w_custom", f"SELECT event_id, count(*) OVER (ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS n, max(value) OVER (ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM {E}")
+def w_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.operators.windows import Spec
+
+    e = bound(spark, sf_dir).window("dozens", lambda n: Spec("length", n=10 * n))
+    return e.run("INSERT INTO o SELECT event_id, count(*) AS n, max(value) AS m FROM events WINDOW('dozens', 2)")["o"]
+
+
+@plain("io_callback", "SELECT event_id, value FROM events WHERE value > 20")
+def io_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got: list[DataFrame] = []
+    bound(spark, sf_dir).on("o", got.append).run("INSERT INTO o SELECT event_id, value FROM events WHERE value > 20")
+    return got[0]
+
+
+@plain("tb_contains", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)")
+def tb_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewright.operators.tables import contains
+
+    own = read(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey"))
+    return contains(own, read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"))
+
+
 # Sources and sinks: payloads there and back
 
 
