@@ -97,3 +97,44 @@ def test_file_and_log(spark, tmp_path, caplog):
     with caplog.at_level("INFO", "tidewright.sink"):
         connectors.sink(log)(df)
     assert 'got {"a":1,"b":"x"}' in caplog.text
+
+
+def test_jdbc_table(spark):
+    """A database's table by the driver that Spark ships: declared types, and rows that a stream looks up."""
+    from tidewright.runner import Runner
+
+    url, driver = "jdbc:derby:memory:tidewright;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    spark.createDataFrame([(1, "one"), (2, "two"), (3, None)], "k bigint, name string").write.jdbc(url, "names", mode="overwrite", properties={"driver": driver})
+    e = Runner(spark).stream("s", spark.createDataFrame([(10, 1), (20, 3), (30, 9)], "t bigint, k bigint"), "t")
+    out = e.run(f"""CREATE TABLE names (k BIGINT, name STRING) WITH (extension = 'jdbc', url = '{url}', "jdbc.driver" = '{driver}');
+        INSERT INTO o SELECT s.k AS k, names.name AS name FROM s LEFT JOIN names ON s.k = names.k""")["o"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == [(1, "one"), (3, None), (9, None)]
+
+
+def test_timer_source(spark):
+    from tidewright.sources.connectors import open_source
+
+    (s,) = parse("CREATE STREAM beat (at BIGINT) WITH (type = 'source', extension = 'timer', interval = '200')")
+    df, dead = open_source(spark, s)
+    assert dead is None and df.isStreaming and df.columns == ["at"]
+    q = df.writeStream.format("memory").queryName("beats").start()
+    try:
+        for _ in range(30):
+            q.awaitTermination(1)
+            if spark.table("beats").count() > 4:
+                break
+    finally:
+        q.stop()
+    times = sorted(r[0] for r in spark.table("beats").collect())
+    assert len(times) > 4 and {b - a for a, b in zip(times, times[1:])} == {200}
+
+
+def test_websocket_double(spark, tmp_path):
+    from tidewright.sources.connectors import open_source, sink
+
+    text = """CREATE STREAM out (a INT, b STRING) WITH (type = 'sink', extension = 'websocket', format = 'json', "websocket.url" = 'ws://h', folder = '{f}');
+        CREATE STREAM back (a INT, b STRING) WITH (type = 'source', extension = 'websocket', format = 'json', "websocket.url" = 'ws://h', folder = '{f}')"""
+    (o, i) = parse(text.format(f=tmp_path))
+    sink(o)(spark.createDataFrame([(1, "x"), (2, None)], "a int, b string"))
+    back, _ = open_source(spark, i)
+    assert sorted(tuple(r) for r in back.select("a", "b").collect()) == [(1, "x"), (2, None)]
