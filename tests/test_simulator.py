@@ -161,3 +161,28 @@ def test_errors(spark):
             e.run(f"INSERT INTO o {text}")
     with pytest.raises(DialectError):
         e.run("INSERT INTO x SELECT id FROM y; INSERT INTO y SELECT id FROM x")
+
+
+def test_running_aggregates_without_keys_are_spread(spark, monkeypatch):
+    """Chunks of 7 events, nulls and a filter among them, give what one pass over all events gives."""
+    from tidewright.operators import windows
+
+    monkeypatch.setattr(windows, "CHUNK", 7)
+    rows = events(5)
+    text = "SELECT id, count(*) AS n, count(v) AS c, sum(v) AS s, avg(v) AS a, min(v) AS lo, max(v) AS hi, maxForever(k) AS mk, round(stddev(v), 9) AS d FROM s WHERE kind != 'C'"
+    got = bound(spark, rows).run(f"INSERT INTO o {text}")["o"]
+    simple = bound(spark, rows).run("INSERT INTO o SELECT id, count(*) AS n, avg(v) AS a FROM s")["o"]
+    plan = [x for x in simple._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
+    assert plan and all(x.count("], [") == 2 or "sum(_n#" in x or "AS _p0#" in x for x in plan)  # only the sizes and sums of chunks meet in one task
+    held, want = [], {}
+    for id_, t, kind, k, v in sorted(rows, key=lambda r: (r[1], r[0])):
+        if kind != "C":
+            held.append((k, v))
+            vs = [x for _, x in held if x is not None]
+            want[id_] = (len(held), len(vs), sum(vs), sum(vs) / len(vs) if vs else None, min(vs, default=None), max(vs, default=None), max(x for x, _ in held))
+    found = {r["id"]: r for r in got.collect()}
+    assert found.keys() == want.keys()
+    for id_, w in want.items():
+        r = found[id_]
+        assert (r.n, r.c, r.lo, r.hi, r.mk) == (w[0], w[1], w[4], w[5], w[6])
+        assert r.s == pytest.approx(w[2]) and r.a == (pytest.approx(w[3]) if w[3] is not None else None)

@@ -71,6 +71,14 @@ AGGREGATES: dict[str, Aggregate] = {
 }
 #: Other names.
 ALIASES = {"average": "avg", "stddevpop": "stddev", "stddev_pop": "stddev", "var_pop": "variance", "min_forever": "minforever", "max_forever": "maxforever", "distinct_count": "distinctcount"}
+#: How an aggregate over all events so far follows from parts of them: what each part has, and how two values of it become one.
+PARTS = {"sum": ("sum",), "count": ("count",), "avg": ("sum", "count"), "min": ("min",), "max": ("max",), "minforever": ("min",), "maxforever": ("max",)}
+MERGES: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "count": (F.sum, lambda a, b: F.coalesce(a + b, a, b)),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+}
 
 
 def find(name: str, distinct: bool = False) -> tuple[str, Aggregate] | None:

@@ -466,6 +466,22 @@ class _Select:
             rows = rows.where(expr.compile(late, inner).col)
         by = [f"_g{k}" for k in range(len(groups))]
         over, forever = f.over(by), f.forever(by)
+        # Without keys and groups all events so far are one frame: each chunk is aggregated by itself, on top of the chunks before it.
+        spread = f.low is None and not self.keys and not groups
+        totals: list[tuple[Column, Column]] = []
+        if spread:
+            rows = rows.withColumn("_chunk", F.floor(F.col(SEQ) / windows.CHUNK))
+            within = Window.partitionBy("_chunk").orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
+
+        def so_far(name: str, col: Column) -> Column:
+            parts = []
+            for part in aggregates.PARTS[name]:
+                total, merge = aggregates.MERGES[part]
+                made = aggregates.AGGREGATES[part].grouped(col.cast("double") if name == "avg" else col)
+                label = f"_p{len(totals)}"
+                totals.append((made.alias(label), total(label).over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)).alias(label)))
+                parts.append(merge(F.col(label), made.over(within)))
+            return F.try_divide(*parts) if name == "avg" else parts[0]
 
         def aggregate(name: str, a: aggregates.Aggregate, x: Typed | None) -> Column:
             w = forever if a.forever else over
@@ -474,12 +490,17 @@ class _Select:
                 return F.first(col).over(w)
             if name == "last":
                 return col
+            if spread and name in aggregates.PARTS:
+                return a.finish(so_far(name, col))
             return a.framed(col, w) if a.framed else a.finish(a.grouped(col).over(w))
 
         s = self.scope(aggregate=aggregate)
         cols = [expr.compile(x, s).col.alias(n) for n, x in self.items()]
         having = [expr.compile(self.q.having, s).col.alias("_having")] if self.q.having is not None else []
         order = [c.alias(f"_o{k}") for k, c in enumerate(self.order(s))]
+        if totals:
+            before = rows.groupBy("_chunk").agg(*(t for t, _ in totals)).select("_chunk", *(p for _, p in totals))
+            rows = rows.join(before, "_chunk")
         out = rows.select(*cols, *having, *order, f.own.alias("_own"), *(c for c in self.keys), TS, SEQ).where("_own").drop("_own")
         return out.where("_having").drop("_having") if having else out
 
