@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions.scalars import duration_ms
@@ -42,7 +42,7 @@ class Rollup:
             if f in ("avg", "count", "stddev"):
                 made.append(F.count(x).alias(f"{name}$count"))
             if f == "stddev":
-                made.append(F.sum(x.cast("double") * x).alias(f"{name}$square"))
+                made.append((F.var_pop(x.cast("double")) * F.count(x)).alias(f"{name}$m2"))
             if f in ("min", "max"):
                 made.append(getattr(F, f)(x).alias(f"{name}${f}"))
             if f not in ("sum", "avg", "count", "stddev", "min", "max"):
@@ -59,7 +59,14 @@ class Rollup:
         if ms % duration_ms(self.levels[0]):
             return self._partials(self.base, ms)
         t = F.col("AGG_TIMESTAMP")
-        return out.groupBy((t - F.pmod(t, F.lit(ms))).alias("AGG_TIMESTAMP"), *self.keys).agg(*merge)
+        out = out.withColumn("AGG_TIMESTAMP", t - F.pmod(t, F.lit(ms)))
+        # Squares about a part's own mean become squares about the whole's; sums of plain squares would lose digits. One exchange serves the mean and the sums.
+        w = Window.partitionBy("AGG_TIMESTAMP", *self.keys)
+        for name in (n for n, (f, _) in self.aggregates.items() if f == "stddev"):
+            total, count = F.col(f"`{name}$sum`"), F.col(f"`{name}$count`")
+            off = F.try_divide(total, count) - F.try_divide(F.sum(total).over(w), F.sum(count).over(w))
+            out = out.withColumn(f"{name}$m2", F.col(f"`{name}$m2`") + count * off * off)
+        return out.groupBy("AGG_TIMESTAMP", *self.keys).agg(*merge)
 
     def query(self, per: str, within: tuple[int, int] | None = None) -> DataFrame:
         """The values of one duration, of buckets that start in ``within`` (the end excluded)."""
@@ -75,8 +82,7 @@ class Rollup:
             if f == "avg":
                 c = F.try_divide(part("sum"), part("count"))
             elif f == "stddev":
-                mean = F.try_divide(part("sum"), part("count"))
-                c = F.sqrt(F.greatest(F.try_divide(part("square"), part("count")) - mean * mean, F.lit(0.0)))
+                c = F.sqrt(F.try_divide(part("m2"), part("count")))
             else:
                 c = part(f)
             out.append(c.alias(name))

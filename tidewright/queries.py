@@ -149,6 +149,16 @@ for per, ms in (("hour", HOUR), ("day", DAY), ("month", 30 * DAY)):
         return e.query_aggregation("agg", per).withColumn("s", F.round("s", 6)).withColumn("a", F.round("a", 9))
 
 
+@plain("a_rollup_stddev", f"SELECT t - t % {DAY} AS AGG_TIMESTAMP, event_type, round(stddev_pop(value + 1000000.0), 6) AS d FROM {E} GROUP BY ALL")
+def a_rollup_stddev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Far from zero, where sums of squares would lose digits of the spread."""
+    from tidewright.operators.rollup import Rollup
+
+    far = ordered(read(spark, sf_dir, "events").withColumn("value", F.col("value") + 1e6), "ts", ["event_id"])
+    o = Rollup(far, ["event_type"], {"d": ("stddev", "value")}, ["MINUTE", "HOUR", "DAY"]).query("DAY")
+    return o.withColumn("d", F.round("d", 6))
+
+
 @plain("a_rollup_within", f"SELECT t - t % {HOUR} AS AGG_TIMESTAMP, count(*) AS n FROM {E} WHERE t >= 1704844800000 AND t < 1705449600000 GROUP BY 1")
 def rollup_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = bound(spark, sf_dir)
