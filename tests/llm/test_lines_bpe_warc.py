@@ -115,6 +115,37 @@ def test_whole_runs(spark):
     assert [left.count(x) for x in pair + block] == [1] * 14
 
 
+def test_chunks_find_runs_in_the_pipeline(spark, monkeypatch):
+    """The stage's runs come from its chunks first, and only what lies in none of them is compared by passages."""
+    import corpus_pipeline
+    from tidewright.llm import line_dedup as module
+
+    r = random.Random(11)
+    block, apart = [passage(r, 12) for _ in range(40)], [passage(r, 35) for _ in range(2)]
+    docs = [(i, "\n".join([passage(r, 9), *block, passage(r, 9)])) for i in range(4)]
+    docs += [(10 + i, "\n".join([*apart, passage(r, 9)])) for i in range(3)]  # too short for a chunk of its own, maybe
+    docs += [(20, docs[0][1])] * 3 + [(21, docs[0][1]), (None, docs[5][1]), (22, None), (23, "")]
+    docs += [(30 + i, f"{apart[0]}\n\n \n{apart[1]}\n\n{passage(r, 4)}") for i in range(3)]  # lines without words inside a run
+    docs += [(40, passage(r, 14) + "\n" + passage(r, 14)), (41, "\n".join([block[5]] * 9)), (42, "\n".join([block[5]] * 9))]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in docs], "doc_id bigint, text string, n_chars bigint").repartition(3)
+    want, left, seen = brute_runs([(-1 if i is None else i, t) for i, t in docs]), module._passages_left, []
+
+    def watched(source, kind, min_words, runs):
+        seen.append({(bytes(x._key), x.no, x.end) for x in runs.collect()})
+        return left(source, kind, min_words, runs)
+
+    monkeypatch.setattr(module, "_passages_left", watched)
+    rows = corpus_pipeline.lines(spark, df, "").collect()
+    assert len(rows) == len(docs)
+    for x in rows:
+        source = dict(docs)[x.doc_id]
+        assert (x.text or "") == want[-1 if x.doc_id is None else x.doc_id, source or ""]
+    long_runs = [e - a for _, a, e in seen[0] if e - a > 30]
+    assert len(long_runs) >= 4  # three blocks but for their ends, and the copy of a document
+    monkeypatch.setattr(module, "_passages_left", lambda source, kind, min_words, runs: runs.where("false"))
+    assert sum(len((x.text or "").split()) for x in corpus_pipeline.lines(spark, df, "").collect()) < sum(len((t or "").split()) for _, t in docs) / 2
+
+
 def test_chunks_resist_shifts():
     from tidewright.llm.line_dedup import chunks
 

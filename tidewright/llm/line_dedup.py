@@ -6,10 +6,10 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import fresh, map_batches, row_key, shared, text_or_empty
+from tidewright.llm.common import fresh, map_batches, row_key, shared, text_or_empty, tidy
 
 BASE, MODULUS = 1_000_003, (1 << 61) - 1
 
@@ -68,11 +68,12 @@ def passages(lines: list[bytes], min_words: int) -> tuple[list[int], list[tuple[
     Ranges start and end with a line of words. A run of whole lines that stood
     elsewhere is the union of such ranges, and each of them stood there too: a
     line with enough words up to it ends a range inside the run, and any line
-    before lies in the range from the run's start.
+    before lies in the range from the run's start. Two lines that are both long
+    enough alone are also a range if lines without words stand between them.
     """
     counts = [len(x.split()) for x in lines]
-    found: set[tuple[int, int]] = set()
     start, held, at = 0, 0, [i for i, n in enumerate(counts) if n]
+    found = {(a, b + 1) for a, b in zip(at, at[1:]) if b - a > 1 and min(counts[a], counts[b]) >= min_words}
     for k, i in enumerate(at):  # to the end i
         held += counts[i]
         while held - counts[at[start]] >= min_words:
@@ -99,43 +100,82 @@ def passage_hashes(text: bytes, min_words: int) -> list[tuple[int, int, bytes]]:
     return [(a, b, blake2b(b"".join(each[a:b]), digest_size=32).digest()) for a, b in ranges]
 
 
-def _chunks_gone(source: DataFrame, kind: str, divisor: int, window: int, long_words: int) -> DataFrame:
-    """``_key, _gone``: numbers of the chunks that are not the first of their content."""
+def _chunk_rows(source: DataFrame, kind: str, divisor: int, window: int, long_words: int, bodies: bool = True) -> DataFrame:
+    """``_key, _id, no, at, head, tail, words, h`` and with ``bodies`` ``body`` of each chunk: its number, first line, first line of words, end of the last one, words, hash and bytes."""
+    names = ["_key", "_id", "no", "at", "head", "tail", "words", "h", *(["body"] if bodies else [])]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = tuple([] for _ in names)
             held = 0
             for k, i, t in zip(b.column(0), b.column(1), b.column(2)):
-                k, i = k.as_py(), i.as_py()
-                for no, (lines, _) in enumerate(chunks(t.as_py(), divisor, window, long_words)):
+                k, i, at = k.as_py(), i.as_py(), 0
+                for no, (lines, n) in enumerate(chunks(t.as_py(), divisor, window, long_words)):
                     body = b"\n".join(lines)
-                    held += len(body)
-                    for c, x in zip(cols, (k, i, no, blake2b(body, digest_size=16).digest(), body)):
+                    held += len(body) if bodies else 0
+                    full = [at + x for x, line in enumerate(lines) if line.strip()] if n else [None]
+                    for c, x in zip(cols, (k, i, no, at, full[0], full[-1] + 1 if n else None, n, blake2b(body, digest_size=16).digest(), body)):
                         c.append(x)
+                    at += len(lines)
                 if held > 1 << 22:
                     yield batch(cols, b)
-                    cols, held = ([], [], [], [], []), 0
+                    cols, held = tuple([] for _ in names), 0
             yield batch(cols, b)
 
     def batch(cols, b) -> pa.RecordBatch:
-        kinds = (pa.binary(), b.column(1).type, pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["_key", "_id", "no", "h", "body"])
+        kinds = (pa.binary(), b.column(1).type, *[pa.int32()] * 4, pa.int64(), pa.binary(), pa.binary())[: len(names)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+
+    return map_batches(source, cut, f"_key binary, _id {kind}, no int, at int, head int, tail int, words bigint, h binary{', body binary' if bodies else ''}")
+
 
-    each = map_batches(source, cut, f"_key binary, _id {kind}, no int, h binary, body binary")
-    place = F.struct("_id", "no", "_key")
+def _repeats(source: DataFrame, place: Column, *cut) -> DataFrame:
+    """The chunks that are not the first of their content by ``place``, without bytes, and ``first``, the place of that one; ``cut`` goes to ``_chunk_rows``."""
+    each, slim = _chunk_rows(source, *cut), _chunk_rows(source, *cut, bodies=False)
     bodies = each.groupBy("h", "body").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     groups = shared(bodies.where("n > 1").groupBy("h").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("bodies")))
-    repeats = each.select("_key", "no", "_id", "h").join(groups.where("bodies = 1"), "h").select("_key", "no", "_id", "first")
+    names = [c for c in slim.columns if c != "h"]
+    repeats = slim.join(groups.where("bodies = 1").hint("shuffle_hash"), "h").select(*names, "first")
     clash = groups.where("bodies > 1").select("h")
     if not clash.isEmpty():
         apart = each.join(clash, "h", "left_semi").join(bodies.where("n > 1").join(clash, "h", "left_semi").select("h", "body", "first"), ["h", "body"])
-        repeats = repeats.unionByName(apart.select("_key", "no", "_id", "first"))
-    return repeats.where(~F.struct("_id", "no", "_key").eqNullSafe(F.col("first"))).groupBy("_key").agg(F.collect_set("no").alias("_gone"))
+        repeats = repeats.unionByName(apart.select(*names, "first"))
+    return repeats.where(~place.eqNullSafe(F.col("first")))
+
+
+def _chunks_gone(source: DataFrame, kind: str, divisor: int, window: int, long_words: int) -> DataFrame:
+    """``_key, _gone``: numbers of the chunks that are not the first of their content."""
+    return _repeats(source, F.struct("_id", "no", "_key"), kind, divisor, window, long_words).groupBy("_key").agg(F.collect_set("no").alias("_gone"))
 
 
-def _whole_gone(source: DataFrame, kind: str, min_words: int) -> DataFrame:
-    """``_key, _gone``: numbers of the lines inside passages that stood before."""
+def _chunk_runs(source: DataFrame, kind: str, min_words: int, divisor: int, window: int, long_words: int) -> DataFrame:
+    """``_key, no, end``: runs of neighbouring repeated chunks whose first occurrences are neighbours in one document too, from the first line of words to the last, with enough words."""
+    found = _repeats(source, F.struct("_id", "at", "_key", "no"), kind, divisor, window, long_words)
+    same = ["_key", "_first", "_off"]
+    found = found.withColumn("_first", F.col("first._key")).withColumn("_off", F.col("first.no") - F.col("no"))
+    order = Window.partitionBy(*same).orderBy("no")  # rows of repeated documents have equal numbers, and one of them is enough
+    found = found.withColumn("_run", F.col("no") - F.dense_rank().over(order)).withColumn("_before", F.lag("no").over(order))
+    runs = found.where(F.col("_before").isNull() | (F.col("_before") != F.col("no"))).groupBy(*same, "_run").agg(F.min("head").alias("_head"), F.max("tail").alias("_tail"), F.sum("words").alias("_words"))
+    return runs.where(F.col("_words") >= min_words).select("_key", F.col("_head").alias("no"), F.col("_tail").alias("end"))
+
+
+def _whole_gone(source: DataFrame, kind: str, min_words: int, divisor: int, window: int, long_words: int) -> DataFrame:
+    """``_key, _gone``: numbers of the lines inside passages that stood before.
+
+    Runs of repeated chunks come first. What they leave, passages that begin
+    or end inside a chunk or whose chunks have their first occurrences apart,
+    is then compared by the ``passages`` that lie in no such run. The first
+    occurrence of a passage never does, as the whole run stood before it.
+    Joins hash the side of what repeats, which is the smaller one.
+    """
+    runs = shared(_chunk_runs(source, kind, min_words, divisor, window, long_words))
+    tidy(source.sparkSession)  # the bytes of chunks need not lie on disk any longer
+    spans = _passages_left(source, kind, min_words, runs).unionByName(runs).groupBy("_key").agg(F.collect_set(F.struct("no", "end")).alias("at"))
+    return spans.select("_key", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["no"], x["end"] - 1)))).alias("_gone"))
+
+
+def _passages_left(source: DataFrame, kind: str, min_words: int, runs: DataFrame) -> DataFrame:
+    """``_key, no, end``: passages outside of ``runs`` that are not the first of their content."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,12 +190,14 @@ def _whole_gone(source: DataFrame, kind: str, min_words: int) -> DataFrame:
             own = b.column(1).take(pa.array(ids, pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), own, pa.array(at, pa.int32()), pa.array(ends, pa.int32()), pa.array(hashes, pa.binary())], names=["_key", "_id", "no", "end", "h"])
 
+    inside = runs.select(F.col("_key").alias("_in"), F.explode(F.sequence("no", F.col("end") - 1)).alias("_line"), F.col("end").alias("_end"))
     each = map_batches(source, cut, f"_key binary, _id {kind}, no int, end int, h binary")
+    each = each.join(inside.hint("shuffle_hash"), (F.col("_key") == F.col("_in")) & (F.col("no") == F.col("_line")) & (F.col("end") <= F.col("_end")), "left_anti")
     groups = shared(each.groupBy("h").agg(F.min(F.struct("_id", "no", "_key")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "first.no", "first._key"))
+    tidy(source.sparkSession)
     first = groups.select("h", F.col("no").alias("_no"), F.col("_key").alias("_first"))
-    later = each.select("_key", "no", "end", "h").join(first, "h").where((F.col("_key") != F.col("_first")) | (F.col("no") != F.col("_no")))
-    spans = later.groupBy("_key").agg(F.collect_set(F.struct("no", "end")).alias("at"))
-    return spans.select("_key", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["no"], x["end"] - 1)))).alias("_gone"))
+    later = each.select("_key", "no", "end", "h").join(first.hint("shuffle_hash"), "h").where((F.col("_key") != F.col("_first")) | (F.col("no") != F.col("_no")))
+    return later.select("_key", "no", "end")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, divisor: int = 2, window: int = 2, long_words: int = 50, report: bool = False, count_col: str | None = None, whole: bool = False) -> DataFrame:
@@ -179,16 +221,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     contents met under one hash. What goes out of a document comes back as
     chunk numbers, at most as many as it has lines.
 
-    With ``whole``, no chunks are made: every run of whole lines with
-    ``min_words`` words or more that stood before, by (id, place), goes, from
-    its first line of words to its last, wherever it starts and ends; lines
-    are then the chunks that are counted. Runs are compared by 256-bit hashes.
+    With ``whole``, every run of whole lines with ``min_words`` words or more
+    that stood before, by (id, place), goes, from its first line of words to
+    its last, wherever it starts and ends. Chunks as above find the runs that
+    are made of whole chunks; an exact comparison of what lies in none of these
+    finds those that begin or end inside a chunk, by 256-bit hashes. Lines are
+    then the chunks that the report counts.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     key = row_key(id_col, text_or_empty(text_col))
     source = docs.select(key.alias("_key"), F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_t"))
 
-    gone = _whole_gone(source, kind, min_words) if whole else _chunks_gone(source, kind, divisor, window, long_words)
+    gone = _whole_gone(source, kind, min_words, divisor, window, long_words) if whole else _chunks_gone(source, kind, divisor, window, long_words)
     told_names = ("n_lines", "n_chunks", "n_removed", "removed_words")
     extra = [fresh(docs.columns, f"_r_{c}") for c in told_names]
     key_name, gone_name, text_name = (fresh(docs.columns, c) for c in ("_key", "_gone", "_t"))
