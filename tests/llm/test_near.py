@@ -233,3 +233,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (200, 200)] + [(300, 300 + i) for i in range(1, 50)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, **{300 + i: 300 for i in range(50)}}
+
+
+def test_each_round_of_components_is_collected(spark, monkeypatch):
+    """What a round made is dropped before the next one: no more than a round's two checkpoints lie between collections."""
+    from tidewright.llm import components as module
+
+    done = []
+    for name in ("shared", "tidy"):
+        monkeypatch.setattr(module, name, lambda x, name=name, f=getattr(module, name): (done.append(name), f(x))[1])
+    got = {r.node: r.root for r in module.components(spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")).collect()}
+    assert got == dict.fromkeys(range(61), 0)
+    runs = [len(x.split()) for x in " ".join(done).split("tidy")]
+    assert len(runs) > 3 and max(runs[1:]) <= 2

@@ -18,7 +18,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     path. The first minimum of a round also tells whether all links are stars
     already: no node with a smaller neighbour then has another one. Minima and
     links are checkpoints, so that lineage stays short and a lost executor
-    costs a round at most.
+    costs a round at most. Garbage of a finished round is collected before the
+    next one: with many partitions its tasks, plans and shuffles would else
+    grow the driver's heap to its limit, and the system gets none of it back.
     """
     links = shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
@@ -31,4 +33,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         ends = F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b"))  # the smallest neighbour's own link stays
         links = shared(hot_join(large, least, ["a"], ["b"]).select(ends.alias("a"), F.col("m").alias("b")).distinct())
+        del both, large, least
+        tidy(links.sparkSession)
     raise RuntimeError(f"components: no end after {rounds} rounds")

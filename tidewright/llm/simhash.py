@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm import vptree
-from tidewright.llm.common import LOWER, fresh, hot_join, map_batches, own_pool, release, shared, text_or_empty
+from tidewright.llm.common import LOWER, fresh, hot_join, map_batches, own_pool, release, shared, text_or_empty, tidy
 from tidewright.llm.components import components
 
 SEED = 42
@@ -102,8 +102,9 @@ def links(fps: DataFrame, radius: int = 3, blocks: int = 4, shard: int = 40_000,
     than values, whatever the number of its pairs.
     """
     by = [c for c in ("plane",) if c in fps.columns]
-    kind, planes = ("plane int, ", 1 + (fps.agg(F.max("plane")).first()[0] or 0)) if by else ("", 1)
-    n = fps.count() // planes
+    rows, most = fps.agg(F.count(F.lit(1)), F.max("plane") if by else F.lit(0)).first()
+    kind, planes = "plane int, " if by else "", 1 + (most or 0)
+    n = rows // planes
     keep = 1
     if n >= pairs_from and 2 * 64 // (radius + 2) > 64 // blocks:
         blocks, keep = radius + 2, 2
@@ -186,6 +187,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 3, blocks: int =
         each = nodes.select("node", F.explode("keys").alias("key"))
         rep = shared(each.groupBy("key").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
         found = shared(found).unionByName(hot_join(each, rep, ["key"], ["node"]).where("node <> a").select("a", F.col("node").alias("b")))
+        tidy(docs.sparkSession)  # as components does after each round
         found = alike(found, nodes, docs, k, similarity, id_col, text_col)
     root = components(found)
     named = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -230,6 +232,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarit
         return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
     hashed = shared(map_batches(one, sets, f"c {kind}, node {kind}, s array<bigint>"))
+    tidy(docs.sparkSession)
     parts = lambda: F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.size("s")) / shingles, F.lit(1.0)))
     size = hashed.groupBy("c").agg(parts().alias("parts"))
     dealt = hot_join(hashed, size, ["c"], ["node"]).withColumn("p", F.pmod(F.xxhash64("node"), F.col("parts")))
@@ -242,6 +245,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, similarit
     first = shared(dealt.select("c", "p", "node", "s").unionByName(spread.select("c", "p", "node", "s")).withColumn("g", F.col("node")).groupBy("c", "p").applyInArrow(solve, schema))
     now = hot_join(hashed, large, ["c"], ["node"]).join(components(first), "node", "left").select("c", "node", "s", "parts", F.coalesce("root", "node").alias("g"))
     now = shared(now)
+    tidy(docs.sparkSession)
     groups = now.groupBy("c", "g").agg(F.count(F.lit(1)).alias("m"))
     top = groups.groupBy("c").agg(F.max_by("g", F.struct("m", "g")).alias("top"))
     minor = hot_join(now, top, ["c"], ["node"]).where("g <> top")
