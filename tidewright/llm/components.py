@@ -19,8 +19,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     already: no node with a smaller neighbour then has another one. Minima and
     links are checkpoints, so that lineage stays short and a lost executor
     costs a round at most. Garbage of a finished round is collected before the
-    next one: with many partitions its tasks, plans and shuffles would else
-    grow the driver's heap to its limit, and the system gets none of it back.
+    next one, so that the driver need not hold the tasks, plans and shuffles of
+    several rounds, which are many with many partitions.
     """
     links = shared(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(rounds):
