@@ -57,6 +57,8 @@ def stream_join(left: Side, right: Side, on: Column | None, how: str, outer: str
     if band is not None:
         df_l, df_r = band
         tests.append(F.col("_lb") == F.col("_rb"))
+    elif any(s.window and s.window.type == "length" for s in (left, right)) or (left.window is None) != (right.window is None):
+        return _by_first(left, right, tests, how, outer, unidirectional)
     else:
         if left.window or right.window:
             df_l, df_r, equal = _banded(left, right, df_l, df_r)
@@ -64,21 +66,71 @@ def stream_join(left: Side, right: Side, on: Column | None, how: str, outer: str
         tests.append(F.when(l_seq < r_seq, _alive(left, right)).otherwise(_alive(right, left)))
     if unidirectional:
         tests.append(r_seq < l_seq if unidirectional == "left" else l_seq < r_seq)
-    pairs = df_l.join(df_r, _all(tests))
-    out = pairs.withColumn(TS, F.greatest(left.ts, right.ts)).withColumn(SEQ, F.greatest(left.seq, right.seq))
-    extra = [c for c in ("_lb", "_rb", "_lband", "_rband", "_lrank", "_rrank", "_lseen", "_rseen") if c in out.columns]
-    out = out.drop(*extra)
+    out = _paired(df_l.join(df_r, _all(tests)), left, right)
     for side, other, a, b, wanted in ((left, right, df_l, df_r, how in ("left", "full")), (right, left, df_r, df_l, how in ("right", "full"))):
         if wanted:
             earlier = [F.col(other.seq) < F.col(side.seq)] if outer == "eager" else []
             alone = a.join(b, _all(tests + earlier), "left_anti")
             if {"_lband", "_rband"} & set(alone.columns):
                 alone = _once(a, b, side, tests + earlier)
-            alone = alone.withColumn(TS, F.col(side.ts)).withColumn(SEQ, F.col(side.seq)).drop(*extra)
-            out = out.unionByName(alone, allowMissingColumns=True)
+            out = out.unionByName(_lone(alone, side), allowMissingColumns=True)
     return out
 
 
+#: Columns that only serve the join.
+EXTRA = ("_lb", "_rb", "_lband", "_rband", "_lrank", "_rrank", "_lseen", "_rseen")
+
+
+def _paired(pairs: DataFrame, left: Side, right: Side) -> DataFrame:
+    return pairs.withColumn(TS, F.greatest(left.ts, right.ts)).withColumn(SEQ, F.greatest(left.seq, right.seq)).drop(*EXTRA)
+
+
+def _lone(rows: DataFrame, side: Side) -> DataFrame:
+    return rows.withColumn(TS, F.col(side.ts)).withColumn(SEQ, F.col(side.seq)).drop(*EXTRA)
+
+
+def _by_first(left: Side, right: Side, tests: list[Column], how: str, outer: str, unidirectional: str | None) -> DataFrame:
+    """Pairs whose left event came first, then those whose right event did: of each, only the first one's window counts, which is a band of its ordinals or times."""
+    cases = []
+    for first, later in ((left, right), (right, left)):
+        if unidirectional and (later is left) != (unidirectional == "left"):
+            continue
+        a, b, equal = _reach(first, later)
+        dl, dr = (a, b) if first is left else (b, a)
+        cases.append((first, dl, dr, [*tests, *equal, F.col(first.seq) < F.col(later.seq), _alive(first, later)]))
+    out = None
+    for _, dl, dr, found in cases:
+        part = _paired(dl.join(dr, _all(found)), left, right)
+        out = part if out is None else out.unionByName(part)
+    for side, wanted in ((left, how in ("left", "full")), (right, how in ("right", "full"))):
+        if wanted:
+            alone = side.df
+            for first, dl, dr, found in cases:
+                if outer == "eager" and first is side:
+                    continue
+                a, b = (dl, dr) if side is left else (dr, dl)
+                matched = a.join(b, _all(found), "left_semi").select(F.col(side.seq).alias("_m")).distinct()
+                alone = alone.join(matched, F.col(side.seq) == F.col("_m"), "left_anti")
+            out = out.unionByName(_lone(alone, side), allowMissingColumns=True)
+    return out
+
+
+def _reach(first: Side, later: Side) -> tuple[DataFrame, DataFrame, list[Column]]:
+    """Bands as wide as the window of ``first``, in one of which each of its rows is: the window that ``later`` sees lies in two at most."""
+    w, (f, n) = first.window, ("_lband", "_rband") if first.seq.startswith("_l") else ("_rband", "_lband")
+    if w is None:
+        return first.df, later.df, []
+    if w.type == "length":
+        seen, rank = ("_rseen", "_lrank") if first.seq.startswith("_l") else ("_lseen", "_rrank")
+        home, low, high, width = F.col(rank), F.col(seen) - w.n, F.col(seen) - 1, w.n
+    elif w.type in ("time", "externaltime", "session"):
+        home, low, high, width = F.col(first.ts), F.col(later.ts) - w.ms + 1, F.col(later.ts), w.ms
+    else:
+        raise DialectError(f"a join takes length, time or batch windows, not {w.type}")
+    bands = F.array_distinct(F.array(F.floor(low / width), F.floor(high / width)))
+    return first.df.withColumn(f, F.floor(home / width)), later.df.withColumn(n, F.explode(bands)), [F.col(f) == F.col(n)]
+
+
 def _once(a: DataFrame, b: DataFrame, side: Side, tests: list[Column]) -> DataFrame:
     """Rows of ``a``, which may have copies by band, none of whose copies has a partner."""
     matched = a.join(b, _all(tests), "left_semi").select(F.col(side.seq).alias("_m")).distinct()
