@@ -45,3 +45,11 @@ def test_f1_length_windows_join_by_bands(spark, how, outer, one_way):
     if "FULL" in how:
         want += [(None, r[0]) for r in rows if r[2] == "B" and r[0] not in {b for _, b, _ in found}]
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in out.collect())
+
+
+@pytest.mark.parametrize(("name", "text"), [("pt_every", "EVERY(e1=A -> e2=B -> e3=C)"), ("pt_once", "e1=A -> e2=B -> e3=C"), ("pt_within_events", "EVERY(e1=A -> e2=B) WITHIN 3 EVENTS")])
+def test_f2_f3_f7_next_pointers_take_no_shrinking_frames(spark, name, text):
+    ids = "e1.id AS a, e2.id AS b" + ", e3.id AS c" * ("e3" in text)
+    e = bound(spark, timed(22))
+    for q in (f"INSERT INTO o SELECT {ids} FROM PATTERN ({text})", f"PARTITION WITH (k OF A, k OF B, k OF C) BEGIN INSERT INTO o SELECT {ids} FROM PATTERN ({text}); END"):
+        assert "unboundedfollowing" not in plan(e.run(q)["o"])

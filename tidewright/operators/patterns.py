@@ -73,15 +73,18 @@ def _named(out: DataFrame, steps: list[A.Step], keys: list[str]) -> DataFrame:
 
 
 def _next_pointers(df: DataFrame, wanted: Column, keys: list[str]) -> DataFrame:
-    """For each event (``_p``, keys ``_q_…``) the number of the first wanted event after it, ``_next``."""
+    """For each event (``_p``, keys ``_q_…``) the number of the first wanted event after it, ``_next``.
+
+    Frames go from the end: Spark adds to a growing frame, but computes a shrinking one anew for each row.
+    """
     mark = F.when(wanted, F.col(SEQ))
     if keys:
-        w = Window.partitionBy(*keys).orderBy(SEQ).rowsBetween(1, Window.unboundedFollowing)
+        w = Window.partitionBy(*keys).orderBy(F.desc(SEQ)).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(F.col(SEQ).alias("_p"), *(F.col(k).alias(f"_q_{k}") for k in keys), F.min(mark).over(w).alias("_next")).where("_next is not null")
     rows = df.select(SEQ, mark.alias("_m"), F.floor(F.col(SEQ) / (1 << 16)).alias("_c"))
     firsts = rows.groupBy("_c").agg(F.min("_m").alias("_f"))
-    beyond = firsts.select("_c", F.min("_f").over(Window.orderBy("_c").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    w = Window.partitionBy("_c").orderBy(SEQ).rowsBetween(1, Window.unboundedFollowing)
+    beyond = firsts.select("_c", F.min("_f").over(Window.orderBy(F.desc("_c")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    w = Window.partitionBy("_c").orderBy(F.desc(SEQ)).rowsBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("_near", F.min("_m").over(w)).join(beyond, "_c")
     return near.select(F.col(SEQ).alias("_p"), F.coalesce("_near", "_later").alias("_next")).where("_next is not null")
 
