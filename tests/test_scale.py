@@ -53,3 +53,37 @@ def test_f2_f3_f7_next_pointers_take_no_shrinking_frames(spark, name, text):
     e = bound(spark, timed(22))
     for q in (f"INSERT INTO o SELECT {ids} FROM PATTERN ({text})", f"PARTITION WITH (k OF A, k OF B, k OF C) BEGIN INSERT INTO o SELECT {ids} FROM PATTERN ({text}); END"):
         assert "unboundedfollowing" not in plan(e.run(q)["o"])
+
+
+def test_f4_f5_numbers_as_times_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Dense ids as a stream's time: no task numbers most of them, and numbers are dense and in order."""
+    from pyspark.sql import functions as F
+
+    from tidewright.operators import order
+
+    monkeypatch.setattr(order, "IDS", 100, raising=False)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        df = order.ordered(spark.range(40_000).select("id", (F.col("id") + 1_000).alias("t")), "t", ["id"])
+        rows = df.select("id", order.SEQ, F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert all(r.id == r[order.SEQ] for r in rows)
+    assert max(sum(r.p == p for r in rows) for p in {r.p for r in rows}) < 20_000
+
+
+def test_f8_rows_whose_number_nobody_reads_are_not_shuffled(spark):
+    from pyspark.sql import functions as F
+
+    from tidewright.runner import Runner
+
+    rows = spark.range(100).select("id", F.timestamp_seconds(F.col("id") * 600).alias("ts"))
+    small = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(small, "-1")  # as if the table of offsets were not known to be small
+    try:
+        out = Runner(spark).stream("s", rows, "ts", ["id"]).run("INSERT INTO o SELECT id, uuid() AS u FROM s")["o"]
+        assert "SortMergeJoin" not in plan(out) and "BroadcastHashJoin" in plan(out)
+        assert out.select("u").distinct().count() == 100
+    finally:
+        spark.conf.unset(small)

@@ -10,6 +10,8 @@ TS, SEQ = "_ts", "_seq"
 HOUR = 3_600_000
 #: Sequence numbers that one task sorts when numbers are made dense again.
 RUN = 1 << 18
+#: Values of a time column that is a plain number (often an id, with wide rows) that one task sorts.
+IDS = 1 << 14
 
 
 def millis(df: DataFrame, name: str) -> Column:
@@ -23,29 +25,35 @@ def millis(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("bigint")
 
 
-def numbered(df: DataFrame, order: list[str], bucket: Column, name: str = SEQ) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], bucket: Column, name: str = SEQ, few: bool = False) -> DataFrame:
     """Adds a dense number from 0 in the order of ``order``.
 
     ``bucket`` must not decrease along that order. Rows are numbered within
     buckets, in parallel, and the buckets' sizes, a table of one row each,
-    give each its offset. A null bucket comes first.
+    give each its offset. A null bucket comes first. With ``few`` buckets
+    that table is broadcast: rows whose numbers nobody reads aren't shuffled.
     """
     rows = df.withColumn("_b", F.coalesce(bucket.cast("bigint"), F.lit(-(1 << 62))))
     sizes = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).alias("_o"))
     local = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
-    return local.join(offsets, "_b").withColumn(name, F.col("_i") - 1 + F.coalesce("_o", F.lit(0))).drop("_b", "_i", "_o")
+    return local.join(F.broadcast(offsets) if few else offsets, "_b").withColumn(name, F.col("_i") - 1 + F.coalesce("_o", F.lit(0))).drop("_b", "_i", "_o")
 
 
-def ordered(df: DataFrame, ts: str, tiebreak: list[str] | tuple[str, ...] = (), bucket_ms: int = HOUR) -> DataFrame:
-    """A stream: the rows with ``_ts`` and dense ``_seq`` in the order of time, then ``tiebreak``. ``bucket_ms`` is the time that one task sorts."""
+def ordered(df: DataFrame, ts: str, tiebreak: list[str] | tuple[str, ...] = (), bucket_ms: int | None = None) -> DataFrame:
+    """A stream: the rows with ``_ts`` and dense ``_seq`` in the order of time, then ``tiebreak``.
+
+    ``bucket_ms`` is the time that one task sorts: an hour, or ``IDS`` values
+    of a number, which may be anything.
+    """
     rows = df.withColumn(TS, millis(df, ts))
-    return numbered(rows, [TS, *tiebreak], F.floor(F.col(TS) / bucket_ms))
+    time = isinstance(df.schema[ts].dataType, T.TimestampType | T.TimestampNTZType | T.DateType)
+    return numbered(rows, [TS, *tiebreak], F.floor(F.col(TS) / (bucket_ms or (HOUR if time else IDS))), few=time)
 
 
 def dense(df: DataFrame) -> DataFrame:
     """Numbers anew, in the order of the numbers there are, after a filter or union left gaps."""
-    return numbered(df.withColumnRenamed(SEQ, "_was"), ["_was"], F.floor(F.col("_was") / RUN)).drop("_was")
+    return numbered(df.withColumnRenamed(SEQ, "_was"), ["_was"], F.floor(F.col("_was") / RUN), few=True).drop("_was")
 
 
 def per_key(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -213,7 +213,7 @@ class _Select:
         from tidewright.operators.order import RUN, numbered
 
         out = out.withColumnRenamed(SEQ, "_was").drop("_l_ts", "_r_ts", "_l_seq", "_r_seq")
-        return numbered(out, ["_was", "_other"], F.floor(F.col("_was") / RUN)).drop("_was", "_other")
+        return numbered(out, ["_was", "_other"], F.floor(F.col("_was") / RUN), few=True).drop("_was", "_other")
 
     def lookup(self, left: DataFrame, r: A.Rel, j: A.Join) -> DataFrame:
         t, label = self.ctx.tables[r.name], r.label
@@ -232,7 +232,7 @@ class _Select:
 
         out = out.withColumnRenamed(SEQ, "_was")
         rest = [c for c in out.columns if c.startswith(f"{label}__")]
-        return numbered(out, ["_was", *rest], F.floor(F.col("_was") / RUN)).drop("_was")
+        return numbered(out, ["_was", *rest], F.floor(F.col("_was") / RUN), few=True).drop("_was")
 
     def as_of(self, left: DataFrame, t: Table, label: str, j: A.Join) -> DataFrame:
         """ON must be key = column; the row is the one that the key had when the event came."""
