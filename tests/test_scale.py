@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from tests.test_simulator import bound, events
+from tests.test_simulator import bound, events, some
 
 
 def plan(df) -> str:
@@ -87,3 +87,42 @@ def test_f8_rows_whose_number_nobody_reads_are_not_shuffled(spark):
         assert out.select("u").distinct().count() == 100
     finally:
         spark.conf.unset(small)
+
+
+def test_f6_f10_f11_time_windows_take_only_growing_frames(spark):
+    """Counts, sums, means and bounds over a time, with nulls, ties, groups, a partition and a window's own column, as naive loops have them."""
+    rows = events(23, ties=True)
+    aggs = "count(*) AS n, count(v) AS c, sum(v) AS s, avg(v) AS a, min(v) AS lo, max(v) AS hi"
+    part = "PARTITION WITH (k OF s) BEGIN {q}; END"
+    for ms, group, text in (
+        (5_000, None, f"INSERT INTO o SELECT id, {aggs} FROM s WINDOW('time', 5 SECONDS)"),
+        (700, 2, f"INSERT INTO o SELECT id, {aggs} FROM s WINDOW('time', 700 MS) GROUP BY kind"),
+        (9, None, f"INSERT INTO o SELECT id, {aggs} FROM s WINDOW('externalTime', id, 9)"),
+        (9_000, 3, part.format(q=f"INSERT INTO o SELECT id, {aggs} FROM s WINDOW('time', 9 SECONDS)")),
+    ):
+        out, at = bound(spark, rows).run(text)["o"], 0 if "external" in text else 1
+        shown = plan(out)
+        assert f"-{ms - 1}, currentrow" not in shown and "RangeFrame" in shown
+        want = []
+        for r in rows:  # events of one time are in each other's frames
+            win = [x for x in rows if r[at] - ms < x[at] <= r[at] and (group is None or x[group] == r[group])]
+            v = some(x[4] for x in win)
+            want.append((r[0], len(win), len(v), float(sum(v)), sum(v) / len(v) if v else None, min(v, default=None), max(v, default=None)))
+        assert [tuple(r) for r in out.orderBy("id").collect()] == [(*w[:4], w[4] and pytest.approx(w[4]), *w[5:]) for w in want]
+
+
+def test_f9_a_large_key_is_numbered_and_framed_in_chunks(spark, monkeypatch):
+    from tidewright.operators import order, windows
+
+    monkeypatch.setattr(order, "RUN", 16)
+    monkeypatch.setattr(windows, "CHUNK", 8)
+    rows = events(24)
+    out = bound(spark, rows).run("PARTITION WITH (CASE WHEN v < 9 THEN 'lo' WHEN v < 99 THEN 'hi' END OF s) BEGIN INSERT INTO o SELECT id, sum(id) AS s FROM s WINDOW('length', 5); END")["o"]
+    held, want = {}, {}
+    for r in rows:
+        key = None if r[4] is None else r[4] < 9
+        held.setdefault(key, []).append(r[0])
+        want[r[0]] = sum(held[key][-5:])
+    assert dict(tuple(r) for r in out.collect()) == want
+    frames = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x and "sum(_n#" not in x]
+    assert frames and all("_chunk#" in x or "_b#" in x for x in frames)  # none of one key alone

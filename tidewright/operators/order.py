@@ -57,8 +57,15 @@ def dense(df: DataFrame) -> DataFrame:
 
 
 def per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Dense numbers within each key."""
-    return df.withColumn(SEQ, (F.row_number().over(Window.partitionBy(*keys).orderBy(SEQ)) - 1).cast("bigint"))
+    """Dense numbers within each key. A key's rows are numbered within ``RUN`` numbers of the stream, on top of the sizes of those before."""
+    rows = df.withColumn("_b", F.floor(F.col(SEQ) / RUN))
+    sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    ids = [*keys, "_b"]
+    offsets = sizes.select(*(F.col(k).alias(f"_k_{k}") for k in ids), F.coalesce(before, F.lit(0)).alias("_o"))
+    local = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*ids).orderBy(SEQ)))
+    met = local.join(offsets, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in ids])
+    return met.withColumn(SEQ, (F.col("_i") - 1 + F.col("_o")).cast("bigint")).drop("_b", "_i", "_o", *(f"_k_{k}" for k in ids))
 
 
 def merged(streams: dict[str, DataFrame]) -> DataFrame:

@@ -40,6 +40,7 @@ class Framed:
     keys: list[str]
     low: int | None
     by: str
+    halved: bool = False
 
     def over(self, groups: list[str] = ()) -> WindowSpec:
         w = Window.partitionBy(*self.keys, *groups).orderBy(self.by)
@@ -47,17 +48,29 @@ class Framed:
             return w.rowsBetween(Window.unboundedPreceding, 0)
         return w.rangeBetween(-self.low, 0)
 
+    def halves(self, groups: list[str] = ()) -> list[tuple[Column, WindowSpec]]:
+        """A halved frame's two parts, each with the rows it counts: own rows up to the time, and copies that leave after it."""
+        w = Window.partitionBy(*self.keys, *groups)
+        return [(self.own, w.orderBy(self.by).rangeBetween(Window.unboundedPreceding, 0)), (~self.own, w.orderBy(F.desc(self.by)).rangeBetween(Window.unboundedPreceding, -1))]
+
     def forever(self, groups: list[str] = ()) -> WindowSpec:
         return Window.partitionBy(*(k for k in self.keys if k != "_chunk"), *groups).orderBy(SEQ).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def frame(df: DataFrame, spec: Spec, keys: list[str]) -> Framed:
+def frame(df: DataFrame, spec: Spec, keys: list[str], halved: bool = False) -> Framed:
     """The frame of a sliding window. ``keys``: a partition's keys, within which counts and times stand alone.
 
-    Without keys a frame spans all events, so rows are cut into chunks that
-    also get the rows before them which their frames reach: any number of
-    tasks computes one window. A chunk is at least as wide as the frame, so
-    each row has one copy at most.
+    A frame may span most events of its key, or all without keys, so rows are
+    cut into chunks that also get the rows before them which their frames
+    reach: any number of tasks computes one window. A chunk is at least as
+    wide as the frame, so each row has one copy at most.
+
+    Spark computes a sliding frame anew for each row, which grows with the
+    square of the events in a window's time. ``halved``, for a window of time
+    and aggregates that merge: chunks are as wide as the window, and each row
+    has a copy at the time it leaves, in the next chunk. A frame is the rows
+    of its chunk so far, and the copies that have yet to leave: two frames
+    that only grow.
     """
     if spec.type == "running":
         return Framed(df, F.lit(True), keys, None, SEQ)
@@ -69,13 +82,15 @@ def frame(df: DataFrame, spec: Spec, keys: list[str]) -> Framed:
         if spec.ms < 1:
             raise DialectError(f"{spec.type} takes a positive time")
         by = "_t"
-        rows, reach, width = df.withColumn("_t", F.col(spec.column or TS).cast("bigint")), spec.ms - 1, max(24 * 3_600_000, spec.ms)
-    if keys:
-        return Framed(rows, F.lit(True), keys, reach, by)
+        rows, reach, width = df.withColumn("_t", F.col(spec.column or TS).cast("bigint")), spec.ms - 1, max(CHUNK, 8 * spec.ms)
+        if halved:
+            leaves = F.when(F.col(by).isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+            rows = rows.withColumn("_leaves", F.explode(leaves)).withColumn(by, F.when(F.col("_leaves"), F.col(by) + spec.ms).otherwise(F.col(by)))
+            return Framed(rows.withColumn("_chunk", F.col(by) - F.pmod(by, F.lit(spec.ms))), ~F.col("_leaves"), [*keys, "_chunk"], reach, by, True)
     home = F.floor(F.col(by) / width)
     copies = F.when(F.floor((F.col(by) + reach) / width) > home, F.array(home, home + 1)).otherwise(F.array(home))
     rows = rows.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
-    return Framed(rows, F.col("_chunk") == F.col("_home"), ["_chunk"], reach, by)
+    return Framed(rows, F.col("_chunk").eqNullSafe(F.col("_home")), [*keys, "_chunk"], reach, by)
 
 
 def batches(df: DataFrame, spec: Spec, keys: list[str]) -> tuple[DataFrame, list[str]]:

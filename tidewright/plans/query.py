@@ -460,7 +460,8 @@ class _Select:
         inner = self.scope()
         for k, g in enumerate(groups):
             df = df.withColumn(f"_g{k}", expr.compile(g, inner).col)
-        f = windows.frame(df, spec, self.keys)
+        used = _aggregate_names((*(x for _, x in self.items()), self.q.having, *(o.x for o in self.q.order_by)))
+        f = windows.frame(df, spec, self.keys, spec.type in ("time", "externaltime") and used <= {*aggregates.PARTS, "last"})
         rows = f.df
         if late is not None:
             rows = rows.where(expr.compile(late, inner).col)
@@ -483,6 +484,13 @@ class _Select:
                 parts.append(merge(F.col(label), made.over(within)))
             return F.try_divide(*parts) if name == "avg" else parts[0]
 
+        def in_halves(name: str, col: Column) -> Column:
+            parts = []
+            for part in aggregates.PARTS[name]:
+                made = [aggregates.AGGREGATES[part].grouped(F.when(counted, col.cast("double") if name == "avg" else col)).over(w) for counted, w in f.halves(by)]
+                parts.append(aggregates.MERGES[part][1](*made))
+            return F.try_divide(*parts) if name == "avg" else parts[0]
+
         def aggregate(name: str, a: aggregates.Aggregate, x: Typed | None) -> Column:
             w = forever if a.forever else over
             col = x.col if x is not None else F.lit(1)
@@ -492,6 +500,8 @@ class _Select:
                 return col
             if spread and name in aggregates.PARTS:
                 return a.finish(so_far(name, col))
+            if f.halved and not a.forever:
+                return a.finish(in_halves(name, col))
             return a.framed(col, w) if a.framed else a.finish(a.grouped(col).over(w))
 
         s = self.scope(aggregate=aggregate)
@@ -552,6 +562,12 @@ def _children(x: object) -> list:
     return list(vars(x).values()) if isinstance(x, A.Expr) else []
 
 
+def _aggregate_names(x: object) -> set[str]:
+    """The names of all aggregates in an expression."""
+    found = aggregates.find(x.name, x.distinct) if isinstance(x, A.Call) else None
+    return {n for v in _children(x) for n in _aggregate_names(v)} | ({found[0]} if found else set())
+
+
 def _columns(x: object) -> list[A.Col]:
     return [x] if isinstance(x, A.Col) else [c for v in _children(x) for c in _columns(v)]
 
